@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_dedup
+from . import queries_dedup, queries_text
 
 QUERIES = {
+    "op4_packing": queries_text.op4_packing,
     "op10_simhash_dedup": queries_dedup.op10_simhash_dedup,
 }
 
