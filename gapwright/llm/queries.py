@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import queries_dedup, queries_text
 
 QUERIES = {
+    "op9_document_fingerprints": queries_dedup.op9_document_fingerprints,
     "op4_packing": queries_text.op4_packing,
     "op10_simhash_dedup": queries_dedup.op10_simhash_dedup,
 }
