@@ -5,9 +5,12 @@ from __future__ import annotations
 from . import queries_dedup, queries_text
 
 QUERIES = {
+    "op8_warc": queries_text.op8_warc,
     "op9_document_fingerprints": queries_dedup.op9_document_fingerprints,
     "op4_packing": queries_text.op4_packing,
     "op10_simhash_dedup": queries_dedup.op10_simhash_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc": queries_text.OP8_SQL,
+}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, warc
+from ._workspace import new_path
 
 
 def tokenizer_path() -> str:
@@ -16,3 +18,22 @@ def tokenizer_path() -> str:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack(docs, tokenizer_path(), capacity=2048)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = new_path(spark, "warc")
+    warc.write_warc(pages, path)
+    found = warc.read_warc(spark, path, with_payload=False)
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP8_SQL = """
+with page as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), told as (select *, min(page_id) over (partition by payload_digest) as first_id from page)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from told
+"""
