@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, warc
+from . import packing, quality, warc
 from ._workspace import new_path
 
 
@@ -37,3 +37,8 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
 from told
 """
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.classify(docs, quality.fit(docs, labels, sample=quality.SAMPLE))
