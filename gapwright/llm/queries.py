@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import queries_dedup, queries_text
 
 QUERIES = {
+    "op2_line_dedup": queries_dedup.op2_line_dedup,
     "op7_quality_classifier": queries_text.op7_quality_classifier,
     "op8_warc": queries_text.op8_warc,
     "op9_document_fingerprints": queries_dedup.op9_document_fingerprints,
