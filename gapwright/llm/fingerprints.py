@@ -137,10 +137,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rng.alias("rng"))
     by = Window.partitionBy("rng").orderBy(F.col("id").desc(), F.col("text").desc())
     lead = base.select("*", F.lead("id").over(by).alias("next_id"), F.lead("text").over(by).alias("next_text"))
-    tops = base.groupBy("rng").agg(F.max("id").alias("head"))
+    tops = materialise(docs.select(F.col(id_col).alias("id"), rng.alias("rng")).groupBy("rng").agg(F.max("id").alias("head")), "ranges")
     order = Window.orderBy(F.col("rng").desc())
     turn = tops.select("rng", F.coalesce(F.lead("rng").over(order), F.first("rng").over(order)).alias("after_rng"))
-    heads = base.join(tops.select("rng", "head"), "rng").where(F.col("id").eqNullSafe(F.col("head"))).groupBy("rng", "head").agg(F.max("text").alias("after_text"))
+    known = base.where("rng >= 0").join(tops.select(F.col("rng").alias("top_rng"), F.col("head").alias("id")), "id").select("rng", F.col("id").alias("head"), "text")
+    heads = known.unionAll(base.where("rng < 0").select("rng", F.col("id").alias("head"), "text")).groupBy("rng", "head").agg(F.max("text").alias("after_text"))
     ends = turn.join(heads.select(F.col("rng").alias("after_rng"), "head", "after_text"), "after_rng").select(F.col("rng").alias("end_rng"), "head", "after_text")
     last = F.col("next_text").isNull()
     joined = lead.join(ends, (F.col("rng") == F.col("end_rng")) & last, "left")
