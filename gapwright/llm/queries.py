@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_text
+from . import queries_dedup, queries_native, queries_text
 
 QUERIES = {
+    "op5_decontamination": queries_native.op5_decontamination,
     "op2_line_dedup": queries_dedup.op2_line_dedup,
     "op7_quality_classifier": queries_text.op7_quality_classifier,
     "op8_warc": queries_text.op8_warc,
