@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, warc
+from . import language, packing, quality, warc
 from ._workspace import new_path
 
 
@@ -42,3 +42,9 @@ from told
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality.classify(docs, quality.fit(docs, labels, sample=quality.SAMPLE))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages; the text model counts all documents by their declared language."""
+    docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
+    return language.identify(pages, language.fit(docs))
