@@ -1,6 +1,228 @@
-"""Every registered query and its DuckDB SQL."""
+"""Every registered query and its DuckDB SQL, over the driver's tables in the roles of FIXTURES.md."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import balancing, components, gcn, graph, imputers, metrics, missing
+
+SEED, RATE, K = 42, 10, 5
+PART = (["p_type", "p_brand"], ["p_size", "p_retailprice"])
+CUSTOMER = (["c_mktsegment"], ["c_acctbal", "c_nationkey"])
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return labels.join(docs, "doc_id").select(F.col("lang").alias("g"), F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"), F.col("n_chars").alias("score"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.when(F.col("o_orderpriority") == "5-LOW", "5-LOW").otherwise("OTHER")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", group.alias("g"), (F.col("o_totalprice") > 200000).cast("int").alias("y"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", *PART[0], *PART[1])
+
+
+def _parts_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing.inject_independent(_parts(spark, sf_dir), [*PART[0], *PART[1]], RATE, "p_partkey", SEED)
+
+
+def _encoded_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", *CUSTOMER[0], *CUSTOMER[1])
+    holes = missing.inject_independent(rows, [*CUSTOMER[0], *CUSTOMER[1]], RATE, "c_custkey", SEED)
+    return graph.encode(holes, "c_custkey", *CUSTOMER, train="true")
+
+
+def _customer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(_encoded_customers(spark, sf_dir), "c_custkey", K)
+
+
+def _vector_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), F.col("label").cast("int").alias("label"))
+    nodes = balancing.stratified_split(vectors, ["label"], "id", SEED)
+    edges = graph.nearest(nodes.withColumn("mask", F.transform("features", lambda x: F.lit(False))), "id", K)
+    return nodes, graph.symmetric(edges)
+
+
+def gcn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _vector_graph(spark, sf_dir)
+    return gcn.train(nodes, edges, epochs=60)
+
+
+def gcn_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    return graph.propagate(customers, graph.symmetric(_customer_graph(spark, sf_dir)), "value")
+
+
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"))
+    return components.components(nodes, _customer_graph(spark, sf_dir))
+
+
+def impute_by(strategy: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = imputers.impute(_parts_with_nulls(spark, sf_dir), strategy, "p_partkey", *PART)
+        return out.select("p_partkey", *PART[0], "p_size", F.round("p_retailprice", 4).alias("p_retailprice"))
+
+    return run
+
+
+def imputation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, holes = _parts(spark, sf_dir), _parts_with_nulls(spark, sf_dir)
+    return missing.score_cells(truth, holes, missing.impute_simple(holes, *PART), "p_partkey", *PART)
+
+
+def numeric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, holes = _parts(spark, sf_dir), _parts_with_nulls(spark, sf_dir)
+    return missing.score_cells(truth, holes, missing.impute_simple(holes, *PART), "p_partkey", [], PART[1])
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _encoded_customers(spark, sf_dir)
+    return rows.select("c_custkey", *(F.round(F.get("features", F.lit(i)), 6).alias(f"f{i}") for i in range(3)), *(F.get("mask", F.lit(i)).cast("int").alias(f"m{i}") for i in range(3)))
+
+
+def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return graph.cosine_search(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", K)
+
+
+QUERIES: dict = {
+    "fairness_groups": lambda s, d: metrics.fairness_groups(_preds(s, d)),
+    "fairness_gaps": lambda s, d: metrics.fairness_gaps(metrics.fairness_groups(_preds(s, d))),
+    "class_report": lambda s, d: metrics.class_report(_preds(s, d)).select("class", "precision", "recall", "f1", "support"),
+    "binary_metrics": lambda s, d: metrics.binary_metrics(_preds(s, d)),
+    "roc_auc": lambda s, d: metrics.roc_auc(_preds(s, d)),
+    "confusion_matrix": lambda s, d: metrics.confusion_matrix(_preds(s, d)),
+    "group_report": lambda s, d: balancing.group_report(_orders(s, d), "g", "y"),
+    "stratified_split": lambda s, d: balancing.stratified_split(_orders(s, d), ["g", "y"], "o_orderkey", SEED),
+    "balance_two_stage": lambda s, d: balancing.two_stage(_orders(s, d), "g", "5-LOW", "y", "o_orderkey", SEED),
+    "balance_downsample": lambda s, d: balancing.downsample(_orders(s, d), "g", "o_orderkey", SEED),
+    "balance_redistribute": lambda s, d: balancing.redistribute(_orders(s, d), "g", "o_orderkey", SEED),
+    "null_injection": lambda s, d: missing.inject(_parts(s, d), [*PART[0], *PART[1]], RATE, "p_partkey", SEED),
+    "null_injection_independent": _parts_with_nulls,
+    "missing_summary": lambda s, d: missing.missing_summary(_parts_with_nulls(s, d), [*PART[0], *PART[1]]),
+    "impute_mode_median": impute_by("mode"),
+    "impute_knn": impute_by("knn"),
+    "impute_mice": impute_by("mice"),
+    "impute_semantic": impute_by("semantic"),
+    "imputation_scores": imputation_scores,
+    "imputation_scores_numeric": numeric_scores,
+    "encode_features": encoded,
+    "knn_graph": lambda s, d: _customer_graph(s, d).withColumn("dist", F.round("dist", 6)),
+    "degree_stats": lambda s, d: graph.degree_stats(_table(s, d, "customer"), graph.symmetric(_customer_graph(s, d)), "c_custkey"),
+    "graph_components": graph_components,
+    "gcn_propagate": gcn_propagate,
+    "gcn_train": gcn_train,
+    "cosine_neighbours": cosine_neighbours,
+}
+
+_PREDS = "p as (select lang as g, quality as y_true, toxic as y_pred, n_chars as score from labels join documents using (doc_id))"
+_GROUPS = f"""{_PREDS}, c as (
+  select g, count(*) as n, count(*) filter (y_true = 1) as positives, count(*) filter (y_true = 0) as negatives,
+    count(*) filter (y_true = 1 and y_pred = 1) as tp, count(*) filter (y_true = 1 and y_pred = 0) as fn,
+    count(*) filter (y_true = 0 and y_pred = 1) as fp, count(*) filter (y_true = 0 and y_pred = 0) as tn
+  from p group by g
+), f as (
+  select *, round(positives / n, 6) as rate_pre, round((tp + fp) / n, 6) as rate_post,
+    round(coalesce(tp / nullif(positives, 0), 0), 6) as tpr, round(coalesce(fp / nullif(negatives, 0), 0), 6) as fpr from c
+)"""
+_CLASSES = f"""{_PREDS}, k as (select y_true as class from p union select y_pred from p), c as (
+  select class, (select count(*) from p where y_true = class and y_pred = class) as hit,
+    (select count(*) from p where y_true = class) as support, (select count(*) from p where y_pred = class) as predicted from k
+), r as (select *, coalesce(2 * hit / nullif(support + predicted, 0), 0) as f from c)"""
+_ORDERS = "o as (select o_orderkey, case when o_orderpriority = '5-LOW' then '5-LOW' else 'OTHER' end as g, (o_totalprice > 200000)::int as y from orders)"
+
+
+def _draw(tag: str, key: str) -> str:
+    return f"md5('{SEED}:{tag}:' || {key}::varchar), {key}"
+
+
+def _holes(name: str, table: str, key: str, columns: list[str]) -> str:
+    ranks = ", ".join(f"row_number() over (order by {_draw(c, key)}) as r_{c}" for c in columns)
+    cells = ", ".join(f"case when r_{c} > need then {c} end as {c}" for c in columns)
+    return f"{name}_r as (select *, (select round_even(count(*) * {RATE} / 100, 0) from {table}) as need, {ranks} from {table}), {name} as (select {key}, {cells} from {name}_r)"
+
+
+def _injection() -> str:
+    """Columns one after the other, the rows with the fewest nulls first."""
+    parts, before, nulls = [], "part", "0"
+    for i, c in enumerate([*PART[0], *PART[1]]):
+        done = [x for x in [*PART[0], *PART[1]] if x != c]
+        parts.append(f"s{i} as (select p_partkey, {', '.join(done)}, case when row_number() over (order by nulls, {_draw(c, 'p_partkey')}) > (select round_even(count(*) * {RATE} / 100, 0) from part) then {c} end as {c}, nulls from (select *, {nulls} as nulls from {before})), t{i} as (select * exclude nulls, nulls + ({c} is null)::int as nulls_so_far from s{i})")
+        before, nulls = f"t{i}", "nulls_so_far"
+    return "with " + ", ".join(parts) + f" select p_partkey, {', '.join([*PART[0], *PART[1]])} from {before}"
+
+
+_PART_HOLES = _holes("h", "part", "p_partkey", [*PART[0], *PART[1]])
+
+
+def _mode(c: str) -> str:
+    return f"(select {c} from h where {c} is not null group by {c} order by count(*) desc, {c} limit 1)"
+
+
+_FILLED = f"""{_PART_HOLES}, i as (
+  select p_partkey, coalesce(p_type, {_mode("p_type")}) as p_type, coalesce(p_brand, {_mode("p_brand")}) as p_brand,
+    coalesce(p_size, (select round_even(median(p_size), 0)::int from h)) as p_size,
+    coalesce(p_retailprice, (select median(p_retailprice) from h)) as p_retailprice from h
+)"""
+_ENCODED = f"""{_holes("h", "customer", "c_custkey", [*CUSTOMER[0], *CUSTOMER[1]])},
+codes as (select c_mktsegment, (dense_rank() over (order by c_mktsegment) - 1)::double as code from (select distinct c_mktsegment from h where c_mktsegment is not null)),
+st as (select avg(c_acctbal) as ma, coalesce(nullif(stddev_pop(c_acctbal), 0), 1) as sa, avg(c_nationkey) as mn, coalesce(nullif(stddev_pop(c_nationkey), 0), 1) as sn from h),
+e as (select c_custkey, case when c_mktsegment is null then -1.0 else code end as x0, coalesce((c_acctbal - ma) / sa, 0) as x1, coalesce((c_nationkey - mn) / sn, 0) as x2,
+  (c_mktsegment is null)::int as m0, (c_acctbal is null)::int as m1, (c_nationkey is null)::int as m2 from h left join codes using (c_mktsegment), st)"""
+_KNN = f"""{_ENCODED}, d as (
+  select a.c_custkey as src, b.c_custkey as dst, round(sqrt(({" + ".join(f"case when a.m{i} + b.m{i} = 0 then (a.x{i} - b.x{i}) ** 2 else 0 end" for i in range(3))}) * 3 / nullif({" + ".join(f"case when a.m{i} + b.m{i} < 2 then 1 else 0 end" for i in range(3))}, 0)), 9) as dist
+  from e a join e b on a.c_custkey <> b.c_custkey
+), knn as (select * from d where dist is not null qualify row_number() over (partition by src order by dist, dst) <= {K}),
+edges as (select src, dst from knn union select dst, src from knn)"""
+
+SQL: dict[str, str] = {
+    "fairness_groups": f"with {_GROUPS} select * from f",
+    "fairness_gaps": f"""with {_GROUPS}, q as (select round(max(rate_pre) - min(rate_pre), 6) as dp_pre, round(max(rate_post) - min(rate_post), 6) as dp_post,
+  round(max(tpr) - min(tpr), 6) as tpr_gap, round(max(fpr) - min(fpr), 6) as fpr_gap,
+  round(coalesce(min(rate_pre) / nullif(max(rate_pre), 0), 0), 6) as di_pre, round(coalesce(min(rate_post) / nullif(max(rate_post), 0), 0), 6) as di_post from f)
+  select *, tpr_gap as equal_opportunity, greatest(tpr_gap, fpr_gap) as equalised_odds,
+  case when dp_post <= 0.05 then 'low' when dp_post <= 0.10 then 'moderate' else 'high' end as verdict, di_post >= 0.8 as di_passes from q""",
+    "class_report": f"with {_CLASSES} select class, round(coalesce(hit / nullif(predicted, 0), 0), 6) as precision, round(coalesce(hit / nullif(support, 0), 0), 6) as recall, round(f, 6) as f1, support from r",
+    "binary_metrics": f"with {_CLASSES} select round(sum(hit) / sum(support), 6) as accuracy, round(avg(f), 6) as f1_macro, round(sum(f * support) / sum(support), 6) as f1_weighted from r",
+    "roc_auc": f"""with {_PREDS}, r as (select y_true, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as r from p)
+  select round((sum(r) filter (y_true = 1) - sum(y_true) * (sum(y_true) + 1) / 2) / nullif(sum(y_true)::double * sum(1 - y_true), 0), 6) as auc from r""",
+    "confusion_matrix": f"with {_PREDS} select y_true, y_pred, count(*) as n from p group by all",
+    "group_report": f"with {_ORDERS} select g, count(*) as n, sum(y)::bigint as positives, round(avg(y), 6) as rate from o group by g",
+    "stratified_split": f"""with {_ORDERS}, r as (select *, row_number() over (partition by g, y order by {_draw("split", "o_orderkey")}) as rn, count(*) over (partition by g, y) as n from o)
+  select o_orderkey, g, y, case when rn <= n - ceil(n * 3 / 10) then 'train' when rn <= n - ceil(ceil(n * 3 / 10) / 2) then 'val' else 'test' end as split from r""",
+    "balance_two_stage": f"""with {_ORDERS}, c as (select count(*) filter (g = '5-LOW' and y = 1) as f1, count(*) filter (g = '5-LOW' and y = 0) as f0,
+    count(*) filter (g <> '5-LOW' and y = 1) as m1, count(*) filter (g <> '5-LOW' and y = 0) as m0 from o),
+  l as (select least(f1, round_even((f1 / (f1 + f0)) * m0 / (1 - f1 / (f1 + f0)), 0), m1) as k1, least(f0, m0) as k0 from c),
+  r as (select *, row_number() over (partition by g, y order by {_draw("two-stage", "o_orderkey")}) as rn from o)
+  select o_orderkey, g, y from r, l where g = '5-LOW' or rn <= case when y = 1 then k1 else k0 end""",
+    "balance_downsample": f"""with {_ORDERS}, r as (select *, row_number() over (partition by g order by {_draw("downsample", "o_orderkey")}) as rn from o)
+  select o_orderkey, g, y from r where rn <= (select min(n) from (select count(*) as n from o group by g))""",
+    "balance_redistribute": f"""with {_ORDERS}, s as (select g, count(*) as n from o group by g), r as (select *, row_number() over (partition by g order by {_draw("redistribute", "o_orderkey")}) as rn from o)
+  select o_orderkey, case when g = (select g from s order by n desc, g limit 1) and rn <= (select round_even(max(n) - sum(n) / count(*), 0) from s) then (select g from s order by n, g limit 1) else g end as g, y from r""",
+    "null_injection": _injection(),
+    "null_injection_independent": f"with {_PART_HOLES} select * from h",
+    "missing_summary": f"with {_PART_HOLES} " + " union all ".join(f"select '{c}' as col, count(*) as n, count(*) filter ({c} is null) as n_null, round(count(*) filter ({c} is null) / count(*), 6) as rate from h" for c in [*PART[0], *PART[1]]),
+    "impute_mode_median": f"with {_FILLED} select p_partkey, p_type, p_brand, p_size, round(p_retailprice, 4) as p_retailprice from i",
+    "imputation_scores_numeric": f"with {_FILLED}, x as (" + " union all ".join(f"""select '{c}' as "column", count(*) as n_imputed, count(*) filter (t.{c} = i.{c}) as exact_matches,
+    round(avg(greatest(least(1 - abs(t.{c} - i.{c})::double / (select max({c}) - min({c}) from part), 1), 0)), 6) as sem_sim_mean from part t join h using (p_partkey) join i using (p_partkey) where h.{c} is null""" for c in PART[1]) + """)
+  select "column", 'num' as col_type, n_imputed, exact_matches, round(exact_matches / n_imputed, 6) as exact_match_rate, sem_sim_mean from x
+  union all select '_ALL_', 'all', sum(n_imputed)::bigint, sum(exact_matches)::bigint, round(sum(exact_matches) / sum(n_imputed), 6), round(sum(sem_sim_mean * n_imputed) / sum(n_imputed), 6) from x""",
+    "encode_features": f"with {_ENCODED} select c_custkey, round(x0, 6) as f0, round(x1, 6) as f1, round(x2, 6) as f2, m0, m1, m2 from e",
+    "knn_graph": f"with {_KNN} select src, dst, round(dist, 6) as dist from knn",
+    "degree_stats": f"with {_KNN}, g as (select c_custkey, count(dst) as n from customer left join edges on src = c_custkey group by 1) select round(avg(n), 6) as avg_degree, min(n) as min_degree, max(n) as max_degree from g",
+    "gcn_propagate": f"""with {_KNN}, l as (select * from edges union all select c_custkey, c_custkey from customer), g as (select src, count(*)::double as d from l group by src)
+  select l.dst as id, round(sum(c_acctbal / sqrt(a.d)) / sqrt(any_value(b.d)), 6) as value from l join customer on c_custkey = l.src join g a on a.src = l.src join g b on b.src = l.dst group by l.dst""",
+    "cosine_neighbours": f"""with v as (select vec_id, embedding::double[] as e from embeddings), d as (
+    select a.vec_id as query_id, b.vec_id as id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as cosine
+    from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+  select query_id, id, cosine, rank from (select *, row_number() over (partition by query_id order by cosine desc, id) as rank from d) where rank <= {K}""",
+}
