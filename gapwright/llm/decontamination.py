@@ -40,15 +40,33 @@ def _member_test(words: DataFrame):
     return (lambda w: _bucket(w, buckets).isin(found)) if found else (lambda w: F.lit(False))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where value is worked out once: a lambda that names a column may work out its expression at each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shingles(words: Column) -> Column:
-    """The five-word shingles of an array of words, the second and further copies of one marked by their number."""
-    at = F.sequence(F.lit(0), F.size(words) - SHINGLE)
-    plain = F.transform(at, lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
-    return F.when(F.size(words) < SHINGLE, F.array().cast("array<string>")).otherwise(plain)
+    """The five-word shingles of an array of words."""
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - SHINGLE)
+        plain = F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))
+        return F.when(F.size(w) < SHINGLE, F.array().cast("array<string>")).otherwise(plain)
+
+    return bound(words, of)
 
 
 def numbered(plain: Column) -> Column:
-    return F.transform(plain, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    """The same with the number of each copy of a shingle, where one has copies, so that sets of them count copies."""
+    def of(p: Column) -> Column:
+        each = F.transform(p, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(p, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+        return F.when(F.size(F.array_distinct(p)) == F.size(p), F.transform(p, lambda x: F.concat(x, F.lit("#1")))).otherwise(each)
+
+    return bound(plain, of)
+
+
+def places(words: Column, wanted) -> Column:
+    """Indices (from 0) of the words that wanted holds for."""
+    return F.filter(F.transform(words, lambda w, i: F.when(wanted(w), i)), lambda i: i.isNotNull())
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -86,8 +104,7 @@ def windows(docs_words: DataFrame, anchored: DataFrame, id_col: str) -> DataFram
     single = anchored.select("item_id", "n", "anchors", F.posexplode("anchors").alias("k", "a")).select("item_id", "n", "anchors", "k", "a.off", "a.word")
     single = materialise(single, "anchors")
     wanted = _member_test(single.select("word").distinct())
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: wanted(F.get("words", i)))
-    hits = docs_words.where(F.size("words") > 0).select(id_col, "words", F.explode(places).alias("pos"))
+    hits = docs_words.select(id_col, "words", F.explode(places(F.col("words"), wanted)).alias("pos"))
     left = F.greatest(F.col("pos") - longest + 1, F.lit(0))
     hits = hits.select(id_col, "pos", left.alias("left"), F.get("words", F.col("pos")).alias("word"), F.slice("words", left + 1, F.lit(2 * longest)).alias("around"))
     met = hits.join(single, "word").withColumn("start", F.greatest(F.col("pos") - F.col("off"), F.lit(0))).withColumn("skip", F.greatest(F.col("off") - F.col("pos"), F.lit(0)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._workspace import materialise
-from .decontamination import _member_test
+from .decontamination import _member_test, places
 
 #: Fixed kinds and patterns. Possessive forms match what the plain ones match and never backtrack; the look-behind skips
 #: starts inside a run, where the match would have begun earlier, so runs of any length cost linear time.
@@ -145,8 +145,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = _member_test(terms.select(F.col("term").alias("word")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = docs.select(F.col(id_col), F.xxhash64(text).alias("text_id"), F.split(text, _SPACE).alias("tokens"))
-    places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: wanted(_term(F.get("tokens", i))))
-    hits = tokens.select(id_col, "text_id", "tokens", F.explode(places).alias("i"))
+    hits = tokens.select(id_col, "text_id", "tokens", F.explode(places(F.col("tokens"), lambda t: wanted(_term(t)))).alias("i"))
     token = F.get("tokens", F.col("i"))
     # tokens are one separator apart
     lead = F.char_length(token) - F.char_length(F.regexp_replace(token, r"^[^\p{L}\p{N}]+", ""))
