@@ -1,0 +1,166 @@
+"""Operators of the llm subpackage: plain versions, planted cases, and nulls, empty tables and clashing columns."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gapwright.llm import chat, decontamination, fingerprints, language, line_dedup, packing, privacy, quality, simhash_dedup, warc
+from gapwright.llm._workspace import new_path
+from gapwright.llm.queries_text import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, n long, kind string"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 7, "x") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties and repeated rows, extra columns that clash."""
+    long = " ".join(f"word{i % 997} other{i % 13}" for i in range(60000))
+    return docs_of(spark, [(1, None), (2, ""), (3, "a"), (4, long), (5, "same text of some words here"), (6, "same text of some words here"), (6, "same text of some words here"), (7, " \n\t "), (None, "no id at all in this row")]).cache()
+
+
+# The four base patterns of the task.
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    def luhn(d):
+        return sum((x * 2 - 9 if x > 4 else x * 2) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    def good(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        return {"email": True, "ip": all(int(x) <= 255 for x in v.split(".")) if kind == "ip" else False, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text) if good(k, m[0])]
+
+
+def test_personal_spans_equal_the_plain_patterns(spark, odd):
+    texts = ["a@b.c_x@d.e", "x@y", "a.b@c..d e@f.g.h.", "1.2.3.4.5 256.1.1.1 0001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (555) 123-4567 +1 2 +49 30 1234567 ext", "é😀 a@b.co 😀 4111111111111111", "9" * 30000, "a" * 60000 + "@b.c", "+" + "1 " * 9000, "mail: <q+w%e@x-y.z>;10.0.0.1,", "12 34-56 78 90 12 34 5"]
+    df = docs_of(spark, list(enumerate(texts)))
+    found = privacy.personal_spans(df).select("doc_id", privacy.listed(*privacy.KINDS).alias("s")).collect()
+    assert {r.doc_id: r.s for r in found} == {i: ",".join(brute_spans(t)) for i, t in enumerate(texts)}
+    assert privacy.personal_spans(odd).count() == 9 and privacy.personal_spans(odd.limit(0)).count() == 0
+
+
+def test_terms_that_disclose_an_entity_are_hidden(spark):
+    rows = [(i, f"The patient Zorblatt wrote number {i} from zed@q.example.com to the clinic") for i in range(6)] + [(100 + i, f"The patient wrote from home to the clinic about item number {i}") for i in range(60)]
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs_of(spark, rows)).collect()}
+    assert "Zorblatt" not in clean[0] and "zed@q" not in clean[0] and "[EMAIL]" in clean[0] and "patient" in clean[0]
+    assert all(clean[100 + i] == rows[6 + i][1] for i in range(60))
+    spans = {r.doc_id: r.term for r in privacy.personal_spans(docs_of(spark, rows)).collect()}
+    assert [(s.start, s.end) for s in spans[3]] == [(12, 20)] and not spans[100]
+
+
+def test_conversations(spark):
+    schema = "id long, turn long, role string, text string, part string"
+    a = [(1, 0, "user", "hi", ""), (1, 1, "assistant", "yes", ""), (2, 0, "user", "x<|im_end|>", ""), (2, 1, "assistant", "same", ""), (3, 0, "user", None, ""), (None, 0, "user", "q", "")]
+    b = [(1, 0, "user", "hi", ""), (1, 1, "assistant", "no!", ""), (1, 2, "user", "why", ""), (2, 0, "user", "x<|im_end|>", ""), (2, 1, "assistant", "same", ""), (3, 0, "user", "other", "")]
+    segments = chat.preference_segments(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    got = {r.id: r for r in chat.assemble(segments).collect()}
+    assert got[1].prompt == "<|im_start|>user\nhi<|im_end|>\n" and got[1].chosen == "<|im_start|>assistant\nyes<|im_end|>\n"
+    assert [got[1].chosen[s.start : s.end] for s in got[1].chosen_loss] == ["yes<|im_end|>"]
+    assert [got[1].rejected[s.start : s.end] for s in got[1].rejected_loss] == ["no!<|im_end|>"] and got[1].rejected.endswith("why<|im_end|>\n")
+    assert not got[2].chosen and not got[2].rejected and got[2].prompt.count("<|im_end|>") == 2
+    assert got[3].prompt == "" and None not in got
+    empty = spark.createDataFrame([], schema)
+    assert chat.preference_segments(empty, empty).count() == 0
+
+
+def test_languages(spark, odd):
+    docs = spark.createDataFrame([("the cat and the dog went to the house " * 5, "en"), ("der hund und die katze gingen nach hause " * 5, "de"), (None, "fr"), ("x", None)], "text string, lang string")
+    model = language.fit(docs)
+    pages = spark.createDataFrame([(1, "http://a.x.org/1", "<html lang='de'><p>der hund und die katze</p></html>", 1), (2, "http://a.x.org/2", "<html><script>der die</script><p>the dog and the cat</p></html>", 1), (3, None, None, 1), (4, "not a url%%", "", 1), (4, "not a url%%", "", 1)], "page_id long, url string, html string, host long")
+    got = {r.page_id: r for r in language.identify(pages, model).collect()}
+    assert model.languages == ("de", "en") and got[1].lang == "de" and got[2].lang == "en" and len(got) == 4
+    assert language.identify(pages, model).count() == 5 and language.identify(pages.limit(0), model).count() == 0
+    assert {r.lang for r in language.identify(pages, language.fit(docs.limit(0))).collect()} == {None}
+
+
+def test_simhash_components_equal_brute_force(spark, odd):
+    import random
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(rnd.choice(words) for _ in range(90)) for _ in range(12)]
+    rows = [(10 * i + k, t if k == 0 else " ".join([*t.split()[:-k], *["end"] * k])) for i, t in enumerate(base) for k in range(4)] + [(999, base[0]), (1000, None), (1001, "")]
+    found = simhash_dedup.simhash_components(docs_of(spark, rows)).collect()
+    fps, lead = {r.doc_id: r.fp & (1 << 64) - 1 for r in found}, {r.doc_id: r.doc_id for r in found}
+    for _ in range(len(rows)):
+        for x in fps:
+            lead[x] = min(lead[y] for y in fps if (fps[x] ^ fps[y]).bit_count() <= 2)
+    assert {r.doc_id: r.component_id for r in found} == lead and lead[1001] == 1000
+    assert simhash_dedup.simhash_components(odd).count() == 9 and simhash_dedup.simhash_components(odd.limit(0)).count() == 0
+
+
+def test_packing_is_whole(spark, odd):
+    pieces = packing.pack(odd, tokenizer_path(), 2048).collect()
+    by, tokens = {}, sum(r.length for r in pieces)
+    for r in pieces:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in by.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= 2048
+    assert tokens == sum(r.doc_tokens for r in pieces if r.start == 0)
+    assert packing.pack(odd.limit(0), tokenizer_path()).count() == 0
+
+
+def test_archives_come_back(spark):
+    body = "<p>" + "same " * 40
+    rows = [(3, "http://h/3", body), (1, None, body), (2, "http://h/2", None), (5, "http://h/5", ""), (9, "http://h/9", "é" * 300000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "warc-test")
+    warc.write_warc(pages, path)
+    got = {int(r.page_id): r for r in warc.read_warc(spark, path, with_payload=False).collect()}
+    assert {k: (r.payload_bytes, r.payload_digest) for k, r in got.items()} == {i: (len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows}
+    assert got[3].record_type == "revisit" and int(got[3].refers_to) == 1 and got[1].record_type == got[2].record_type == got[5].record_type == "response"
+
+
+def test_benchmark_passages_are_found(spark, odd):
+    item = "seven brave sailors crossed the frozen harbour before dawn carrying lanterns and bread for the hungry"
+    items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "unrelated passage about gardens full of roses tulips and daisies in spring")], "item_id long, text string")
+    rows = [(1, f"Some words first. {item.title()}! And more after it."), (2, "nothing to see here at all today, only plain words"), (3, None), (4, item.replace("bread", "cheese", 1))]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(docs_of(spark, rows), items).collect()}
+    assert got[1, 1] == 1.0 and {d for d, _ in got} <= {1, 4}
+    assert [r.doc_id for r in decontamination.decontaminate(docs_of(spark, rows), items).where("doc_id in (1, 2, 3)").orderBy("doc_id").collect()] == [2, 3]
+    assert decontamination.contaminated(odd, items).count() == 0 and decontamination.contaminated(odd, items.limit(0)).count() == 0
+    assert decontamination.contaminated(odd.limit(0), items).count() == 0
+
+
+def test_repeated_lines_go(spark, odd):
+    line = "this line is repeated in several documents of the corpus word for word and is long"
+    rows = [(1, f"first own text\n{line}\nmore"), (2, f"second own words\n{line}\n"), (3, None), (4, line.replace("several", "many") + " indeed")]
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(docs_of(spark, rows)).collect()}
+    assert line in got[1].text and line not in got[2].text and got[2].n_removed == 1 and got[3].text is None
+    assert line_dedup.remove_repeated_lines(odd).count() == 9 and line_dedup.remove_repeated_lines(odd.limit(0)).count() == 0
+
+
+def test_fingerprints(spark, odd):
+    whole = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r.doc_id: r for r in fingerprints.fingerprint_with_edits(whole).collect()}
+    texts = {r.doc_id: r.text or "" for r in whole.collect()}
+    order = sorted(texts, reverse=True)
+    for i, d in enumerate(order):
+        t, after = texts[d], texts[order[(i + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), d
+    assert got[5].fp == got[6].fp
+
+
+def test_quality(spark, odd):
+    good, bad = "calm clear prose about the history of rivers", "buy cheap pills now click here winner"
+    rows = [(i, (good if i % 2 else bad) + f" {i} " * 3) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i in range(120) if i % 2}
+    model = quality.fit(docs, labels)
+    assert quality.classify(odd, model).count() == 9 and quality.classify(odd.limit(0), model).count() == 0
+    assert quality.keep_good(odd, labels.limit(0)).count() == 9
