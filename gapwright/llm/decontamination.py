@@ -94,14 +94,17 @@ def _by(*keys: str, order: list):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def windows(docs_words: DataFrame, anchored: DataFrame, id_col: str) -> DataFrame:
+def windows(docs_words: DataFrame, anchored: DataFrame, id_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, start, window): the window of an item's size at each alignment of an anchor, once an alignment.
 
+    At the similarity s at most (1 - s) of the item's shingles are missing, and each can take one word with it at most, so
+    windows that lack more of its words than that cannot reach s and end here; none is lost by it.
+
     start counts words from 0; windows end at the ends of the text. A hit carries the words around it, twice the longest
     item at most, so that nothing is joined back to the documents.
     """
     longest = anchored.agg(F.max("n")).first()[0] or SHINGLE
-    single = anchored.select("item_id", "n", "anchors", F.posexplode("anchors").alias("k", "a")).select("item_id", "n", "anchors", "k", "a.off", "a.word")
+    single = anchored.select("item_id", "n", "anchors", F.array_distinct("words").alias("item_words"), F.posexplode("anchors").alias("k", "a")).select("item_id", "n", "anchors", "item_words", "k", "a.off", "a.word")
     single = materialise(single, "anchors")
     wanted = _member_test(single.select("word").distinct())
     hits = docs_words.select(id_col, "words", F.explode(places(F.col("words"), wanted)).alias("pos"))
@@ -109,6 +112,8 @@ def windows(docs_words: DataFrame, anchored: DataFrame, id_col: str) -> DataFram
     hits = hits.select(id_col, "pos", left.alias("left"), F.get("words", F.col("pos")).alias("word"), F.slice("words", left + 1, F.lit(2 * longest)).alias("around"))
     met = hits.join(single, "word").withColumn("start", F.greatest(F.col("pos") - F.col("off"), F.lit(0))).withColumn("skip", F.greatest(F.col("off") - F.col("pos"), F.lit(0)))
     met = met.withColumn("window", F.slice("around", F.col("start") - F.col("left") + 1, F.col("n") - F.col("skip")))
+    lacking = F.floor(F.lit(1 - similarity + 1e-9) * (F.col("n") - SHINGLE + 1))
+    met = met.where(F.size(F.array_except("item_words", "window")) <= lacking)
     earlier = F.exists(F.slice("anchors", F.lit(1), F.col("k")), lambda x: F.get("window", x["off"] - F.col("skip")) == x["word"])
     return met.where(~F.coalesce(earlier, F.lit(False))).select(id_col, "item_id", (F.col("pos") - F.col("off")).alias("start"), "window")
 
@@ -128,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs_words = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("words"))
     items = materialise(benchmark_items(benchmark, item_col, item_text_col), "items")
     anchored = materialise(anchors(items, docs_words), "anchored")
-    texts = windows(docs_words, anchored, id_col).select(id_col, "item_id", "start", F.array_join("window", " ").alias("text"))
+    texts = windows(docs_words, anchored, id_col, similarity).select(id_col, "item_id", "start", F.array_join("window", " ").alias("text"))
     prints = fingerprints.simhash(texts.withColumn("own", F.col("text")), [id_col, "item_id", "start", "own"])
     prints = prints.withColumnRenamed("own", "text")
     item_texts = items.select("item_id", F.array_join("words", " ").alias("item"))
