@@ -276,6 +276,15 @@ def candidates(kind: str, crowd: int | None):
                 ok = _may_match(n[x], p[x], n[y], p[y])
                 yield x[ok], y[ok]
 
+    def opened_pairs(n: np.ndarray, p: np.ndarray, head: np.ndarray, opened: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        many = np.cumsum(opened - head[opened])
+        for part in np.split(opened, np.unique(np.searchsorted(many, np.arange(1_000_000, many[-1] if len(many) else 0, 1_000_000)))):
+            before = part - head[part]
+            x = np.repeat(part, before)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(before) - before, before) + head[x]
+            ok = _may_match(n[x], p[x], n[y], p[y])
+            yield x[ok], y[ok]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 400_000):
             word, both = table.column("word").to_numpy(), table.column("np").to_numpy()
@@ -284,7 +293,7 @@ def candidates(kind: str, crowd: int | None):
             cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
             sizes, heads = np.diff(cut), cut[:-1]
             more, rest = sizes > 1, np.zeros(0, np.int64)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] | Iterator[tuple[np.ndarray, np.ndarray]] = []
             if crowd:
                 big = sizes > crowd
                 more &= ~big
@@ -300,8 +309,8 @@ def candidates(kind: str, crowd: int | None):
                     rest = np.append(rest, member)
                 found += pairs_of(n, p, heads[more], sizes[more])
             else:
-                opened = table.column("open").to_numpy()
-                found += [(x[opened[x]], y[opened[x]]) for x, y in pairs_of(n, p, heads[more], sizes[more])]
+                opened = table.column("open").to_numpy(zero_copy_only=False)
+                found = opened_pairs(n, p, np.repeat(heads, sizes), np.flatnonzero(opened))
             for x, y in found:
                 if len(x):
                     x, y = pa.array(x), pa.array(y)
