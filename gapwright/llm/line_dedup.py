@@ -179,9 +179,10 @@ def _first_rows(kind: str):
 
 
 def prefixes(sets: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(word, np, id, line_no): the rarest words of each set; np is its size and the word's position, 32 bits each.
+    """(word, np, id, line_no, sig): the rarest words of each set; np is its size and the word's position, 32 bits each.
 
-    Any two similar sets share a word of their prefixes. Sets are named by their first occurrence.
+    Any two similar sets share a word of their prefixes. Sets are named by their first occurrence. sig has a bit for
+    each 64th of the words, set where the set has an odd number of them.
     """
     scale = np.minimum(np.log2(rarity.astype(float) + 1) * 2, 63).astype(np.uint8)
     shared = sets.sparkSession.sparkContext.broadcast(scale)  # BUCKETS bytes
@@ -199,11 +200,12 @@ def prefixes(sets: DataFrame, rarity: np.ndarray) -> DataFrame:
                 key = np.sort((row.astype(_U) << _U(WORD_BITS)) | (rare << low) | (h >> _U(6)))
                 pos = np.arange(len(h)) - np.repeat(ptr[:-1], n)
                 keep = pos < np.repeat(_probe(n), n)
+                sig = np.bitwise_xor.reduceat(_U(1) << ((h >> _U(20)) & _U(63)), ptr[:-1]).view(np.int64) if len(h) else np.zeros(0, np.int64)
                 word, row, pos = key[keep] & _U((1 << WORD_BITS) - 1), row[keep], pos[keep]
                 at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array((n[row] << 32) | pos), batch.column("id").take(at), batch.column("line_no").take(at)], names=["word", "np", "id", "line_no"])
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array((n[row] << 32) | pos), batch.column("id").take(at), batch.column("line_no").take(at), pa.array(sig[row])], names=["word", "np", "id", "line_no", "sig"])
 
-    return sets.select("id", "line_no", "line").mapInArrow(run, f"word long, np long, id {kind}, line_no long")
+    return sets.select("id", "line_no", "line").mapInArrow(run, f"word long, np long, id {kind}, line_no long, sig long")
 
 
 def _probe(n: np.ndarray) -> np.ndarray:
@@ -288,7 +290,7 @@ def candidates(kind: str, crowd: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 400_000):
             word, both = table.column("word").to_numpy(), table.column("np").to_numpy()
-            n, p = both >> 32, both & 0xFFFFFFFF
+            n, p, sig = both >> 32, both & 0xFFFFFFFF, table.column("sig").to_numpy()
             ids, line = table.column("id").combine_chunks(), table.column("line_no").combine_chunks()
             cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
             sizes, heads = np.diff(cut), cut[:-1]
@@ -312,14 +314,16 @@ def candidates(kind: str, crowd: int | None):
                 opened = table.column("open").to_numpy(zero_copy_only=False)
                 found = opened_pairs(n, p, np.repeat(heads, sizes), np.flatnonzero(opened))
             for x, y in found:
-                if len(x):
-                    x, y = pa.array(x), pa.array(y)
-                    yield pa.RecordBatch.from_arrays([ids.take(x), line.take(x), ids.take(y), line.take(y), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], names=[*_PAIR, "word", "np"])
+                # each bit that differs takes a word that only one of the sets has
+                ok = np.bitwise_count((sig[x] ^ sig[y]).view(_U)) <= n[x] + n[y] - 2 * _least_overlap(n[x], n[y])
+                if ok.any():
+                    x, y, none = pa.array(x[ok]), pa.array(y[ok]), pa.nulls(int(ok.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(x), line.take(x), ids.take(y), line.take(y), none, none, none], names=[*_PAIR, "word", "np", "sig"])
             if len(rest):
                 at = pa.array(rest)
-                yield pa.RecordBatch.from_arrays([ids.take(at), line.take(at), pa.nulls(len(rest), ids.type), pa.nulls(len(rest), pa.int64()), pa.array(word[rest]), pa.array(both[rest])], names=[*_PAIR, "word", "np"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), line.take(at), pa.nulls(len(rest), ids.type), pa.nulls(len(rest), pa.int64()), pa.array(word[rest]), pa.array(both[rest]), pa.array(sig[rest])], names=[*_PAIR, "word", "np", "sig"])
 
-    return run, f"xi {kind}, xl long, yi {kind}, yl long, word long, np long"
+    return run, f"xi {kind}, xl long, yi {kind}, yl long, word long, np long, sig long"
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,13 +376,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     run, ddl = candidates(kind, CROWD)
     dealt = prefixes(sets, rarity).repartition("word").sortWithinPartitions("word", "id", "line_no")
     near = materialise(dealt.mapInArrow(run, ddl), "candidates")
-    pairs = near.where("yi is not null").select(*_PAIR).distinct()
+    pairs = materialise(near.where("yi is not null").select(*_PAIR).distinct(), "pairs")
     matched = materialise(verified(pairs, sets).select(F.col("xi").alias("id"), F.col("xl").alias("line_no")).distinct(), "matched")
-    crowds = near.where("yi is null").select("word", "np", F.col("xi").alias("id"), F.col("xl").alias("line_no"))
+    crowds = near.where("yi is null").select("word", "np", "sig", F.col("xi").alias("id"), F.col("xl").alias("line_no"))
     if not crowds.isEmpty():
         opened = crowds.join(matched.withColumn("open", F.lit(False)), ["id", "line_no"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
         run, ddl = candidates(kind, None)
-        again = opened.repartition("word").sortWithinPartitions("word", "id", "line_no").mapInArrow(run, ddl).select(*_PAIR).distinct()
+        again = materialise(opened.repartition("word").sortWithinPartitions("word", "id", "line_no").mapInArrow(run, ddl).select(*_PAIR).distinct(), "pairs")
         matched = materialise(matched.unionAll(verified(again, sets).select(F.col("xi").alias("id"), F.col("xl").alias("line_no"))).distinct(), "matched")
     copies = lines.select("sid", "id", "line_no").join(first.where("copies > 1").select("sid", F.col("id").alias("fi"), F.col("line_no").alias("fl")), "sid").where("not (id = fi and line_no = fl)").select("id", "line_no")
     return copies.unionAll(matched).withColumnRenamed("id", id_col)
