@@ -142,6 +142,28 @@ def test_repeated_lines_go(spark, odd):
     assert line_dedup.remove_repeated_lines(odd).count() == 9 and line_dedup.remove_repeated_lines(odd.limit(0)).count() == 0
 
 
+def test_repeated_lines_equal_brute_force(spark):
+    """Sets of all sizes and degrees of likeness, with words that far more sets share than meet pairwise at once."""
+    import random
+
+    rnd = random.Random(11)
+    stems = [[f"w{rnd.randrange(400)}" for _ in range(rnd.choice([4, 5, 9, 10, 20, 45, 90]))] for _ in range(30)]
+    lines = [[w if rnd.random() > 0.06 else f"x{rnd.randrange(9)}" for w in rnd.choice(stems)] for _ in range(500)]
+    lines += [["rare1", "rare2", "rare3", "rare4", *(f"y{rnd.randrange(14)}" for _ in range(7))] for _ in range(200)]
+    rnd.shuffle(lines)
+    texts = ["\n".join(" ".join(x) for x in lines[i : i + 7]) for i in range(0, len(lines), 7)]
+    sets, expected = [], set()
+    for d, t in enumerate(texts):
+        for i, x in enumerate(t.split("\n")):
+            words = set(x.split())
+            if len(words) >= line_dedup.LEAST_WORDS:
+                if any(5 * len(words & y) >= 4 * len(words | y) for y in sets):
+                    expected.add((d, i))
+                sets.append(words)
+    found = {(r.doc_id, r.line_no) for r in line_dedup.repeated_lines(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert found == expected and 100 < len(expected) < len(lines)
+
+
 def test_fingerprints(spark, odd):
     whole = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in fingerprints.fingerprint_with_edits(whole).collect()}
