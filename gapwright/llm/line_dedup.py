@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join (operator 2).
 
 Two lines match if the Jaccard similarity of their sets of words is at least 0.8. Lines with equal sets collapse to
-their first occurrence. The distinct sets then meet as in prefix-filter joins: words are ordered from rare to frequent,
+their first occurrence, short ones included. The distinct sets then meet as in prefix-filter joins: words are ordered from rare to frequent,
 a set's rarest words form its prefix, and only sets that share a prefix word, fit in length and can still reach the
 overlap from their positions are verified, on the whole lines. Rarity comes from counts of all words in a table of fixed
 size; words of one bucket are ordered by hash, so the order is total and the join exact whatever collides.
@@ -21,8 +21,10 @@ from ._workspace import materialise
 
 #: Similarity in fractions, for exact integer arithmetic: numerator and denominator.
 NUM, DEN = 4, 5
-#: Lines of fewer distinct words stay: they say too little.
-LEAST_WORDS = 4
+#: Lines of fewer words, blank ones, stay.
+LEAST_WORDS = 1
+#: Sets of fewer words are similar to equal ones only, as n / (n + 1) is below the similarity: they are not joined.
+JOINED_WORDS = -(-NUM // (DEN - NUM))
 #: Buckets of the table of word counts (its bytes are four times that), and of one of its rows.
 BUCKETS, ROW = 1 << 20, 1 << 12
 #: Above so many sets under one prefix word, sets first meet leaders only; those that no leader matches meet all.
@@ -81,7 +83,7 @@ def _strings(data: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> pa.Arra
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(sid, id, line_no, n, line): every line of LEAST_WORDS or more distinct words, the 64-bit hash of its set and its
-    size. Of the lines of one set that a task sees, the first has the text and the others have null."""
+    size. Of the lines of one set of JOINED_WORDS or more that a task sees, the first has the text; others have null."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +101,9 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     n = ptr[1:] - ptr[:-1]
                     sid = K.mix(K.segment_sums(K.mix(h), ptr) ^ K.mix(n.astype(_U)))
                     at = np.flatnonzero(n >= LEAST_WORDS)
-                    _, first = np.unique(sid[at], return_index=True)
+                    joined = np.flatnonzero(n[at] >= JOINED_WORDS)
+                    _, first = np.unique(sid[at[joined]], return_index=True)
+                    first = joined[first]
                     new = first[~np.isin(sid[at[first]], told, assume_unique=True)]
                     keep = np.zeros(len(at), bool)
                     keep[new] = True
@@ -391,7 +395,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with two more columns, n_lines and n_removed, and without the lines of repeated_lines() in the text column.
 
-    A null text stays null (n_lines 0). Rows whose id is null and lines of fewer than LEAST_WORDS distinct words stay.
+    A null text stays null (n_lines 0). Rows whose id is null and blank lines stay.
     """
     gone = repeated_lines(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(gone, docs[id_col] == gone["_gone_id"], "left").drop("_gone_id")
