@@ -1,6 +1,6 @@
 """Cases that earlier versions of the operators left out."""
 
-from gapwright.llm import line_dedup
+from gapwright.llm import decontamination, line_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,3 +24,11 @@ def test_short_lines_collapse_on_equal_sets(spark):
     assert {(r.doc_id, r.line_no) for r in line_dedup.repeated_lines(docs).collect()} == expected and len(expected) == 6
     got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs).collect()}
     assert got == {1: rows[0][1], 2: "own\n\nread less\nsign in", 3: " "}
+
+
+def test_benchmark_copies_far_in_bits_are_found(spark):
+    """A copy at similarity 0.8 whose fingerprint differs from the item's in 28 bits."""
+    kept = "qu ztl rkhcsj yfpadzflp jqqb eje dtr olpb cn nwpw bzd npygxktbv fluo opjz tbz bbfn sk klg xcmzxbohh ula"
+    items = spark.createDataFrame([(1, f"bgxgipnbl znijrism {kept}")], "item_id long, text string")
+    got = decontamination.contaminated(docs_of(spark, [(1, f"if ubooqvytq {kept}")]), items).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 1, 0, 0.8)]
