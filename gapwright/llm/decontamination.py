@@ -19,7 +19,7 @@ SIMILARITY = 0.8
 #: Largest Hamming distance of a window and its item: similarity 0.8 gives 8 to 10 bits on average, 24 at most in 80,000
 #: borderline copies of the sf0.1 items and 28 at most in 60,000 of items of 22 random words.
 RADIUS = 32
-#: Parts of an item with an anchor each, and words of a part that are counted to find its rarest.
+#: Least parts of an item with an anchor each, and words of a part that are counted to find its rarest.
 PARTS, TRIED = 6, 2
 #: Literal sets in expressions have so many members at most; larger ones are coarsened to as many hash buckets.
 LITERALS = 1 << 16
@@ -76,10 +76,17 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return items.where(F.col("n") >= SHINGLE)
 
 
-def anchors(items: DataFrame, docs_words: DataFrame) -> DataFrame:
+def part_words(similarity: float) -> int:
+    """Most words of a part, so that a window without any anchor cannot reach the similarity s: the anchors of two parts
+    that follow each other take 6 shingles, which is more than (1 - s) of those of the two parts; ends take fewer."""
+    return max(1, int(2 / (1 - similarity) + 1e-9)) if similarity < 1 else 1 << 30
+
+
+def anchors(items: DataFrame, docs_words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(item_id, words, n, anchors ARRAY<off, word>): of the longest words of each part of an item the one that is rarest
     in the documents. docs_words(words) are counted over all documents, by word, map-side first."""
-    at = items.select("item_id", "n", F.posexplode("words").alias("off", "word")).withColumn("part", F.expr(f"off * {PARTS} div n"))
+    parts = F.greatest(F.lit(PARTS), F.ceil(F.col("n") / part_words(similarity)))
+    at = items.select("item_id", "n", F.posexplode("words").alias("off", "word")).withColumn("part", F.floor(F.col("off") * parts / F.col("n")))
     longest = F.row_number().over(_by("item_id", "part", order=[F.char_length("word").desc(), "off"]))
     tried = materialise(at.withColumn("r", longest).where(f"r <= {TRIED}").select("item_id", "part", "off", "word"), "tried-words")
     wanted = _member_test(tried.select("word").distinct())
@@ -133,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     docs_words = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("words"))
     items = materialise(benchmark_items(benchmark, item_col, item_text_col), "items")
-    anchored = materialise(anchors(items, docs_words), "anchored")
+    anchored = materialise(anchors(items, docs_words, similarity), "anchored")
     texts = windows(docs_words, anchored, id_col, similarity).select(id_col, "item_id", "start", F.array_join("window", " ").alias("text"))
     prints = fingerprints.simhash(texts.withColumn("own", F.col("text")), [id_col, "item_id", "start", "own"])
     prints = prints.withColumnRenamed("own", "text")

@@ -32,3 +32,25 @@ def test_benchmark_copies_far_in_bits_are_found(spark):
     items = spark.createDataFrame([(1, f"bgxgipnbl znijrism {kept}")], "item_id long, text string")
     got = decontamination.contaminated(docs_of(spark, [(1, f"if ubooqvytq {kept}")]), items).collect()
     assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 1, 0, 0.8)]
+
+
+def test_long_benchmark_items_have_anchors_enough(spark):
+    """An item of 280 words and a copy that lacks the rarest long word of each sixth of it."""
+    item = [f"w{i}" for i in range(280)]
+    for k in range(6):
+        item[20 + 280 * k // 6] = f"extraordinarily{k}"
+    copy = " ".join("x" if w.startswith("extra") else w for w in item)
+    got = decontamination.contaminated(docs_of(spark, [(1, copy)]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)] and abs(got[0].similarity - 246 / 306) < 1e-9
+
+
+def test_anchors_of_all_parts_take_more_than_the_similarity_allows():
+    for n in range(5, 320):
+        parts, last = max(decontamination.PARTS, -(-n // decontamination.part_words(0.8))), n - decontamination.SHINGLE
+        least = None  # fewest shingles that anchors of the parts so far take, by the offset of the last anchor
+        for part in range(parts):
+            offs = [o for o in range(n) if o * parts // n == part]
+            if offs:
+                taken = {o: (max(0, o - 4), min(o, last)) for o in offs}
+                least = {o: b - a + 1 if least is None else min(v + max(0, b - max(a, min(q, last) + 1) + 1) for q, v in least.items()) for o, (a, b) in taken.items()}
+        assert 5 * min(least.values()) > last + 1, n
