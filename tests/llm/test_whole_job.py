@@ -1,6 +1,7 @@
 """Cases that earlier versions of the operators left out."""
 
 from gapwright.llm import decontamination, line_dedup
+from gapwright.operators import graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,3 +55,10 @@ def test_anchors_of_all_parts_take_more_than_the_similarity_allows():
                 taken = {o: (max(0, o - 4), min(o, last)) for o in offs}
                 least = {o: b - a + 1 if least is None else min(v + max(0, b - max(a, min(q, last) + 1) + 1) for q, v in least.items()) for o, (a, b) in taken.items()}
         assert 5 * min(least.values()) > last + 1, n
+
+
+def test_equal_vectors_are_ranked_by_id(spark):
+    rows = [(i, [1.0, 2.0, 3.0] if i else [3.0, 2.0, 1.0]) for i in range(60, -1, -1)]
+    vectors = spark.createDataFrame(rows, "id long, v array<float>").coalesce(1)
+    got = graph.cosine_search(vectors.where("id in (0, 7)"), vectors, "id", "v", 3).collect()
+    assert {(r.query_id, r.rank, r.id) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (7, 1, 1), (7, 2, 2), (7, 3, 3)}
