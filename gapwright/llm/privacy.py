@@ -1,9 +1,10 @@
 """Personal data by pattern and terms that disclose it by corpus co-occurrence, DataFrame operations only (operator 3).
 
-Entities are the values that the patterns find. A term near an entity reveals it as far as seeing the term removes the
-surprise at the entity: disclosure(t; e) = PMI(t; e) / IC(e), with IC(e) = log(N / n_e) and
+Entities are the values that the patterns find. A term in a text with an entity reveals it as far as seeing the term removes
+the surprise at the entity: disclosure(t; e) = PMI(t; e) / IC(e), with IC(e) = log(N / n_e) and
 PMI(t; e) = log(n_te N / (n_t n_e)), counted over the N distinct texts of the corpus, so copies count once. It is 1 where
-the term occurs with the entity only. Terms at GENERALISE or above are replaced by their class, at REMOVE or above they go.
+the term occurs with the entity only. Terms at GENERALISE or above are replaced by their class, at REMOVE or above they go,
+where they occur together more than chance explains; one text is enough for that, unless the corpus has few.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ PATTERNS = {
 #: A text without these has no match of the kind: cheap tests before the patterns.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Characters on each side of an entity that are its context.
-CONTEXT = 80
-#: Distinct texts in which a term must occur with an entity, and disclosures from which terms are generalised and removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.95, 0.99
+#: Disclosures from which terms are generalised and removed, and the least likelihood ratio statistic of a term and an
+#: entity (chi square with one degree of freedom, p = 0.001).
+GENERALISE, REMOVE, SIGNIFICANT = 0.95, 0.99, 10.83
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -77,9 +77,12 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_id, email, ip, card, phone): the spans of each row, and contexts of its entities; no texts."""
+    """(id, text_id, email, ip, card, phone, terms): the spans of each row, and all terms of a text that has any; no texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), text.alias("_text")).select(id_col, F.xxhash64("_text").alias("text_id"), "_text", *(base_spans(F.col("_text"), k).alias(k) for k in KINDS))
+    spans = docs.select(F.col(id_col), text.alias("_text")).select(id_col, F.xxhash64("_text").alias("text_id"), "_text", *(base_spans(F.col("_text"), k).alias(k) for k in KINDS))
+    words = F.array_distinct(F.filter(F.transform(F.split("_text", _SPACE), _term), _is_term))
+    some = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS))
+    return spans.select(id_col, "text_id", *KINDS, F.when(some, words).otherwise(F.array().cast("array<string>")).alias("terms"))
 
 
 def _term(token: Column) -> Column:
@@ -94,41 +97,50 @@ def _is_term(term: Column) -> Column:
 _SPACE = r"[\x20\x09-\x0D]"
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, text_col: str = "text") -> DataFrame:
+def _together(n_te: Column, n_t: Column, n_e: Column, total: float) -> Column:
+    """Likelihood ratio statistic (G squared) of the two by two table of a term and an entity over texts."""
+    every = F.lit(total)
+    cells = [(n_te, n_t, n_e), (n_t - n_te, n_t, every - n_e), (n_e - n_te, every - n_t, n_e), (every - n_t - n_e + n_te, every - n_t, every - n_e)]
+    return 2 * reduce(lambda a, b: a + b, (F.when(o > 0, o * F.log(o * every / (r * c))).otherwise(F.lit(0.0)) for o, r, c in cells))
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, disclosure): terms that reveal an entity, with the largest disclosure over the entities they occur with.
 
-    mentions(entity, text_id, term) are the terms in the contexts of entities. Counts are over all distinct texts.
+    base is with_base(docs), written. A term and an entity occur together where they are in one text, at any distance.
+    Counts are over all distinct texts.
     """
-    # one row for each entity, term and text, then counts; both combine map-side
-    pairs = materialise(mentions.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "pairs")
+    total = float(base.select("text_id").distinct().count())
+    groups = materialise(_groups(base), "entity-groups")
+    terms = base.where(F.size("terms") > 0).select("text_id", "terms").dropDuplicates(["text_id"]).select("text_id", F.explode("terms").alias("term"))
+    terms = materialise(terms, "entity-terms")
+    counted = groups.join(terms, "text_id").groupBy("group", "n_e", "term").agg(F.count("*").alias("n_te"))
+    ic = F.log(F.lit(total) / F.col("n_e"))
+    # PMI is IC + log(n_te / n_t), and n_t is at least the term's count in texts with entities: none is lost by this test
+    least = terms.groupBy("term").agg(F.count("*").alias("least"))
+    pairs = counted.join(least, "term").where((ic > 0) & (F.log(F.col("n_te") / F.col("least")) >= (GENERALISE - 1) * ic - 1e-9))
+    pairs = materialise(pairs.groupBy("term", "n_e", "n_te").agg(F.count("*").alias("entities")), "pairs")
     wanted = _member_test(pairs.select(F.col("term").alias("word")).distinct())
     text = F.coalesce(F.col(text_col), F.lit(""))
     in_texts = docs.select(F.xxhash64(text).alias("text_id"), F.explode(F.array_distinct(F.filter(F.transform(F.split(text, _SPACE), _term), wanted))).alias("term"))
     n_t = in_texts.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = mentions.select("entity", "text_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = float(docs.select(F.xxhash64(text).alias("h")).distinct().count())
-    ic = F.log(F.lit(total) / F.col("n_e"))
     pmi = F.log(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
-    told = pairs.join(n_t, "term").join(n_e, "entity").where(ic > 0).withColumn("disclosure", pmi / ic)
+    told = pairs.join(n_t, "term").withColumn("disclosure", pmi / ic).where(_together(F.col("n_te"), F.col("n_t"), F.col("n_e"), total) >= SIGNIFICANT)
     return told.where(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def _mentions(base: DataFrame) -> DataFrame:
-    """(entity, text_id, term) of the contexts; an entity is a kind and its value in lower case, numbers by their digits."""
+def _groups(base: DataFrame) -> DataFrame:
+    """(group, n_e, text_id): entities that occur in the same n_e texts are one group, as their counts are equal.
+
+    An entity is a kind and its value in lower case, numbers by their digits.
+    """
     def of_kind(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), _digits(s["value"]) if kind in ("card", "phone") else F.lower(s["value"])))
 
-    spans = reduce(F.concat, map(of_kind, KINDS))
-    at = base.where(F.size(spans) > 0).select("text_id", "_text", F.explode(spans).alias("s"))
-    value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    first = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
-    before = F.substring(F.col("_text"), first + 1, F.col("s.start") - first)
-    after = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(CONTEXT))
-    # words that the context's far ends cut are left out
-    left = F.when(first > 0, F.regexp_replace(before, r"^[^\x20\x09-\x0D]+", "")).otherwise(before)
-    right = F.when(F.char_length(after) == CONTEXT, F.regexp_replace(after, r"(?<=[\x20\x09-\x0D])[^\x20\x09-\x0D]+$", "")).otherwise(after)
-    terms = F.array_distinct(F.transform(F.split(F.concat_ws(" ", left, right), _SPACE), _term))
-    return at.select(F.concat_ws(":", "s.kind", value).alias("entity"), "text_id", F.explode(F.filter(terms, _is_term)).alias("term"))
+    entities = materialise(base.select("text_id", F.explode(F.concat(*map(of_kind, KINDS))).alias("entity")).distinct(), "entities")
+    each = [F.bit_xor(F.xxhash64(F.col("text_id"), F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    named = entities.groupBy("entity").agg(F.count("*").alias("n_e"), *each).select("entity", "n_e", F.xxhash64("n_e", "x1", "x2").alias("group"))
+    return entities.join(named, "entity").select("group", "n_e", "text_id").distinct()
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,10 +150,9 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are not read. term spans are the words that disclose an entity, wherever they occur, outside of base spans
     or not; their value is 'generalise' or 'remove'.
     """
-    base = with_base(docs, id_col, text_col)
-    mentions = materialise(_mentions(base), "mentions")
-    terms = materialise(disclosing_terms(docs, mentions, text_col), "terms")
-    plain = materialise(base.drop("_text"), "base-spans")
+    plain = materialise(with_base(docs, id_col, text_col), "base-spans")
+    terms = materialise(disclosing_terms(docs, plain, text_col), "terms")
+    plain = plain.drop("terms")
     wanted = _member_test(terms.select(F.col("term").alias("word")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = docs.select(F.col(id_col), F.xxhash64(text).alias("text_id"), F.split(text, _SPACE).alias("tokens"))

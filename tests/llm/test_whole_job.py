@@ -1,6 +1,6 @@
 """Cases that earlier versions of the operators left out."""
 
-from gapwright.llm import decontamination, line_dedup
+from gapwright.llm import decontamination, line_dedup, privacy
 from gapwright.operators import graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,3 +62,13 @@ def test_equal_vectors_are_ranked_by_id(spark):
     vectors = spark.createDataFrame(rows, "id long, v array<float>").coalesce(1)
     got = graph.cosine_search(vectors.where("id in (0, 7)"), vectors, "id", "v", 3).collect()
     assert {(r.query_id, r.rank, r.id) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (7, 1, 1), (7, 2, 2), (7, 3, 3)}
+
+
+def test_terms_disclose_from_the_first_text_and_at_any_distance(spark):
+    """One entity in one text and two in two texts, their terms hundreds of characters away; common words stay."""
+    filler = "the clinic wrote about the usual matters of the week " * 8
+    rows = [(0, f"Qumquat spoke first. {filler} mail to one@q.example.com"), (1, f"call +49 30 1234567 {filler} said Vexler"), (2, f"call +49 (30) 123 4567 {filler} and Vexler again"), (3, f"mail to two@q.example.com {filler} without names")]
+    rows += [(10 + i, f"{filler} mail call said spoke first and again without names number {i}") for i in range(120)]
+    docs = docs_of(spark, rows)
+    found = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.term] for r in privacy.personal_spans(docs).collect() if r.term}
+    assert found == {0: ["Qumquat"], 1: ["Vexler"], 2: ["Vexler"]}
