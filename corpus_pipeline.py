@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The classifier and the tokeniser have no SQL form; tests/llm holds the stages against plain versions.
+#: The classifier and the tokeniser have no SQL form; tests/llm/test_corpus_stages.py holds STAGES against plain versions.
 ORACLE_SQL = None
 
 
