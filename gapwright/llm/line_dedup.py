@@ -1,10 +1,17 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join (operator 2).
 
 Two lines match if the Jaccard similarity of their sets of words is at least 0.8. Lines with equal sets collapse to
-their first occurrence, short ones included. The distinct sets then meet as in prefix-filter joins: words are ordered from rare to frequent,
-a set's rarest words form its prefix, and only sets that share a prefix word, fit in length and can still reach the
-overlap from their positions are verified, on the whole lines. Rarity comes from counts of all words in a table of fixed
-size; words of one bucket are ordered by hash, so the order is total and the join exact whatever collides.
+their first occurrence, short ones included. The distinct sets then meet as in prefix-filter joins: words are ordered from
+rare to frequent, a set's rarest words form its prefix, and only sets that share a prefix word, fit in length, can still
+reach the overlap from their positions and whose parity sketches allow it are verified, on the words of the whole lines.
+
+Rarity comes from counts of all words in a table of fixed size; words of one bucket are ordered by hash, so the order is
+total and the join exact whatever collides. Under a frequent word sets meet by their first two common words instead: after
+the first at position i the second stands at n - o + 1 at the latest, o being the overlap that the similarity asks for.
+Prefixes travel as packed columns, a blob for each task and part of the words, and no text goes with them.
+
+Where many sets under one word may match, each meets its closest few first. Only those that these do not match meet all
+others, in a second pass over the words in question.
 """
 
 from __future__ import annotations
@@ -13,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._workspace import materialise
+from ._workspace import materialise, release
 
 #: Similarity in fractions, for exact integer arithmetic: numerator and denominator.
 NUM, DEN = 4, 5
@@ -27,30 +35,37 @@ LEAST_WORDS = 1
 JOINED_WORDS = -(-NUM // (DEN - NUM))
 #: Buckets of the table of word counts (its bytes are four times that), and of one of its rows.
 BUCKETS, ROW = 1 << 20, 1 << 12
-#: Above so many sets under one prefix word, sets first meet leaders only; those that no leader matches meet all.
-CROWD = 64
-#: Bits of a word's hash; rows of a chunk have the rest of 64.
-WORD_BITS = 44
+#: Above so many sets under one word, sets are compared in steps of STEP; one that MANY may match meets the CLOSEST first.
+CROWD, STEP, MANY, CLOSEST = 64, 512, 32, 8
+#: Words counted as often as this meet others with a second word. Classes of rarity are half powers of two.
+FREQUENT = 2 * 14
+#: Bits of a word's hash; lines of a chunk have the rest of 64.
+WORD_BITS = 52
 MOST_ROWS = (1 << (64 - WORD_BITS)) - 2
+#: Prefix words that a mapper packs at a time, and least parts that words are dealt into.
+FLUSH, PARTS = 1 << 20, 512
+#: Sets of so many words or more have sketches of 128 bits that count, others of 64.
+WIDE = 64
 _U = np.uint64
+_CODEC = "zstd"
+
+
+def _mask(bits: int) -> np.uint64:
+    return _U((1 << bits) - 1)
 
 
-def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, row and number (from 0) of every line between newlines, empty ones included."""
+def _line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of all lines (a line takes its newline with it), and row and number (from 0) of each."""
     cuts = np.flatnonzero(data == 10)
-    row_of_cut = np.searchsorted(offsets, cuts, "right") - 1
-    rows = np.concatenate([np.arange(len(offsets) - 1), row_of_cut])
+    rows = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, cuts, "right") - 1])
     starts = np.concatenate([offsets[:-1], cuts + 1])
     order = np.lexsort((starts, rows))
     starts, rows = starts[order], rows[order]
-    last = np.append(rows[1:] != rows[:-1], True)[: len(rows)]
-    ends = np.where(last, offsets[rows + 1], np.append(starts[1:], 0)[: len(rows)] - 1)
-    number = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    return starts, ends, rows, number
+    return np.append(starts, offsets[-1]), rows, np.arange(len(rows)) - np.searchsorted(rows, rows)
 
 
 def word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct words (as WORD_BITS of hash) of each row, and row pointers; a chunk has fewer than 2^20 rows.
+    """Sorted distinct words (as WORD_BITS of hash) of each row, and row pointers; of MOST_ROWS rows at most.
 
     Words are runs without ASCII white space, A-Z in lower case.
     """
@@ -61,7 +76,7 @@ def word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     key = key[new]
-    return key & _U((1 << WORD_BITS) - 1), np.searchsorted(key, np.arange(len(offsets)).astype(_U) << _U(WORD_BITS))
+    return key & _mask(WORD_BITS), np.searchsorted(key, np.arange(len(offsets)).astype(_U) << _U(WORD_BITS))
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -70,49 +85,8 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             yield k, min(k + MOST_ROWS, j)
 
 
-def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    return data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])], offsets
-
-
-def _strings(data: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> pa.Array:
-    valid = np.packbits(~null, bitorder="little").tobytes()
-    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes()), pa.py_buffer(valid), int(null.sum()))
-
-
-def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sid, id, line_no, n, line): every line of LEAST_WORDS or more distinct words, the 64-bit hash of its set and its
-    size. Of the lines of one set of JOINED_WORDS or more that a task sees, the first has the text; others have null."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = np.zeros(0, _U)
-        for batch in batches:
-            data, offsets = K.text_bytes(batch.column("_text"))
-            own = batch.column("_id")
-            for i, j in K.chunks(offsets):
-                raw = data[offsets[i] : offsets[j]]
-                starts, ends, rows, number = _lines(raw, offsets[i : j + 1] - offsets[i])
-                for a in range(0, len(starts), MOST_ROWS):
-                    part = slice(a, a + MOST_ROWS)
-                    body, line_offsets = _gather(raw, starts[part], ends[part])
-                    h, ptr = word_sets(body, line_offsets)
-                    n = ptr[1:] - ptr[:-1]
-                    sid = K.mix(K.segment_sums(K.mix(h), ptr) ^ K.mix(n.astype(_U)))
-                    at = np.flatnonzero(n >= LEAST_WORDS)
-                    joined = np.flatnonzero(n[at] >= JOINED_WORDS)
-                    _, first = np.unique(sid[at[joined]], return_index=True)
-                    first = joined[first]
-                    new = first[~np.isin(sid[at[first]], told, assume_unique=True)]
-                    keep = np.zeros(len(at), bool)
-                    keep[new] = True
-                    told = np.union1d(told, sid[at[new]])[: 1 << 21]  # beyond that a set may be told again, which costs a row
-                    text, text_offsets = _gather(body, line_offsets[:-1][at], np.where(keep, line_offsets[1:][at], line_offsets[:-1][at]))
-                    yield pa.RecordBatch.from_arrays([pa.array(sid[at].view(np.int64)), own.take(pa.array(rows[part][at] + i)), pa.array(number[part][at]), pa.array(n[at]), _strings(text, text_offsets, ~keep)], names=["sid", "id", "line_no", "n", "line"])
-
-    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return source.mapInArrow(run, f"sid long, id {kind}, line_no long, n long, line string")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -121,7 +95,7 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            data, offsets = K.text_bytes(batch.column("_text"))
+            data, offsets = K.text_bytes(batch.column("text"))
             for i, j in K.chunks(offsets):
                 low = K.LOWER[data[offsets[i] : offsets[j]]]
                 starts, ends, _ = K.spans(low, offsets[i : j + 1] - offsets[i], K.SPACES)
@@ -139,79 +113,12 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()], pa.binary())], names=["k", "counts"])
 
     out = np.zeros((BUCKETS // ROW, ROW), np.uint32)
-    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for k, v in source.mapInArrow(count, "k long, counts binary").repartition("k").mapInArrow(add, "k long, counts binary").collect():
         out[k] = np.frombuffer(v, "<u4")
     return out.ravel()
 
 
-def _first_rows(kind: str):
-    """Of sorted rows (sid, id, line_no, n, line) the first of each sid, with the first text that the sid has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sid = batch.column("sid").to_numpy()
-            head = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
-            has = np.flatnonzero(~batch.column("line").is_null().to_numpy(zero_copy_only=False))
-            at = np.searchsorted(has, head)
-            text = np.where(at < len(has), has[np.minimum(at, max(len(has) - 1, 0))] if len(has) else -1, -1)
-            bound = np.append(head[1:], len(sid))
-            text = np.where(text < bound, text, -1)
-            rows = [batch.column(c).take(pa.array(head)) for c in ("sid", "id", "line_no", "n")]
-            lines = batch.column("line").take(pa.array(text, mask=text < 0))
-            table = pa.RecordBatch.from_arrays([*rows, lines], names=["sid", "id", "line_no", "n", "line"])
-            if held is not None:
-                if held[0] == sid[0]:
-                    if held[1].column("line")[0].is_valid:
-                        table = table.slice(1)
-                    else:
-                        table = pa.RecordBatch.from_arrays([pa.concat_arrays([held[1].column(c), table.column(c).slice(1)]) for c in ("sid", "id", "line_no", "n")] + [table.column("line")], names=table.schema.names)
-                        held = None
-                if held is not None and (table.num_rows or held[0] != sid[0]):
-                    yield held[1]
-                    held = None
-            if table.num_rows:
-                yield table.slice(0, table.num_rows - 1)
-                held = (table.column("sid")[table.num_rows - 1].as_py(), table.slice(table.num_rows - 1))
-        if held is not None:
-            yield held[1]
-
-    return run
-
-
-def prefixes(sets: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(word, np, id, line_no, sig): the rarest words of each set; np is its size and the word's position, 32 bits each.
-
-    Any two similar sets share a word of their prefixes. Sets are named by their first occurrence. sig has a bit for
-    each 64th of the words, set where the set has an odd number of them.
-    """
-    scale = np.minimum(np.log2(rarity.astype(float) + 1) * 2, 63).astype(np.uint8)
-    shared = sets.sparkSession.sparkContext.broadcast(scale)  # BUCKETS bytes
-    kind = sets.schema["id"].dataType.simpleString()
-    low = _U(WORD_BITS - 6)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.text_bytes(batch.column("line"))
-            for i, j in _pieces(offsets):
-                h, ptr = word_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n = ptr[1:] - ptr[:-1]
-                row = np.repeat(np.arange(j - i), n)
-                rare = shared.value[(h & _U(BUCKETS - 1)).astype(np.int64)].astype(_U)
-                key = np.sort((row.astype(_U) << _U(WORD_BITS)) | (rare << low) | (h >> _U(6)))
-                pos = np.arange(len(h)) - np.repeat(ptr[:-1], n)
-                keep = pos < np.repeat(_probe(n), n)
-                sig = np.bitwise_xor.reduceat(_U(1) << ((h >> _U(20)) & _U(63)), ptr[:-1]).view(np.int64) if len(h) else np.zeros(0, np.int64)
-                word, row, pos = key[keep] & _U((1 << WORD_BITS) - 1), row[keep], pos[keep]
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array((n[row] << 32) | pos), batch.column("id").take(at), batch.column("line_no").take(at), pa.array(sig[row])], names=["word", "np", "id", "line_no", "sig"])
-
-    return sets.select("id", "line_no", "line").mapInArrow(run, f"word long, np long, id {kind}, line_no long, sig long")
-
-
 def _probe(n: np.ndarray) -> np.ndarray:
     """Words of the prefix: a set of n loses at most n - ceil(s n) words to a similar one."""
     return n - (-(-NUM * n // DEN)) + 1
@@ -227,178 +134,418 @@ def _least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
+def prefix_cells(h: np.ndarray, ptr: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, row, position) of the prefixes of sets of words h[ptr[i]:ptr[i + 1]]; sets below JOINED_WORDS have none.
+
+    A cell is a prefix word or, where that is frequent, the word and one that follows; position is the first word's.
+    """
+    n = ptr[1:] - ptr[:-1]
+    row = np.repeat(np.arange(len(n)), n)
+    rare = rarity[(h & _U(BUCKETS - 1)).astype(np.int64)].astype(_U)
+    word = np.sort((row.astype(_U) << _U(WORD_BITS)) | (rare << _U(WORD_BITS - 6)) | (h >> _U(6))) & _mask(WORD_BITS)
+    pos = np.arange(len(h)) - np.repeat(ptr[:-1], n)
+    last = np.repeat(np.where(n >= JOINED_WORDS, _probe(n), 0), n)  # words of the prefix
+    at = np.flatnonzero(pos < last)
+    often = (word[at] >> _U(WORD_BITS - 6)) >= _U(FREQUENT)
+    one, two = at[~often], at[often]
+    follow = last[two] - pos[two]
+    first = np.repeat(two, follow)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(follow) - follow, follow)
+    with np.errstate(over="ignore"):
+        cell = np.concatenate([K.mix(word[one]), K.mix(K.mix(word[first]) + word[second] * K.P1)])
+    where = np.concatenate([one, first])
+    return cell, row[where], pos[where]
+
+
+def sketches(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parities of each set: a bit is set where an odd number of its words have it; of small sets 64, and 0."""
+    n = ptr[1:] - ptr[:-1]
+    low, high = np.zeros(len(n), _U), np.zeros(len(n), _U)
+    full = np.flatnonzero(n)
+    if len(full):
+        bit, side = _U(1) << ((h >> _U(20)) & _U(63)), (h >> _U(26)) & _U(1)
+        low[full] = np.bitwise_xor.reduceat(np.where(side == 0, bit, _U(0)), ptr[:-1][full])
+        high[full] = np.bitwise_xor.reduceat(np.where(side == 1, bit, _U(0)), ptr[:-1][full])
+    small = n < WIDE
+    return np.where(small, low ^ high, low), np.where(small, _U(0), high)
+
+
+def _differ(low: np.ndarray, high: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least words that only one of two sets has: each bit that differs takes one."""
+    a, b = low[x] ^ low[y], high[x] ^ high[y]
+    wide = (n[x] >= WIDE) & (n[y] >= WIDE)
+    return np.where(wide, np.bitwise_count(a) + np.bitwise_count(b), np.bitwise_count(a ^ b)).astype(np.int64)
+
+
+def _pack(part: np.ndarray, kind: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A row (part, kind, size, body) for each part: its rows of the columns as one compressed record batch."""
+    order = np.argsort(part, kind="stable")
+    table = pa.RecordBatch.from_arrays([c.take(pa.array(order)) for c in columns.values()], names=list(columns))
+    cut = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else np.zeros(0, np.int64)
+    bodies, sizes = [], []
+    for a, b in zip(cut, np.append(cut[1:], len(part))[: len(cut)], strict=True):
+        raw = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in table.columns], names=table.schema.names).serialize()
+        sizes.append(raw.size)
+        bodies.append(pa.compress(raw, _CODEC, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(part[order][cut].astype(np.int64)), pa.array(np.full(len(cut), kind, np.int64)), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=["part", "kind", "size", "body"])
+
+
+_PACKED = "part long, kind long, size long, body binary"
+_KEYS, _CELLS, _GONE, _OPEN = range(4)
+
+
+def _schema(kind: int, id_type: pa.DataType) -> pa.Schema:
+    own = [("id", id_type), ("line", pa.int64())]
+    return pa.schema({_KEYS: [("sid", pa.uint64()), *own], _CELLS: [("cell", pa.uint32()), *own, ("n", pa.int32()), ("pos", pa.int32()), ("low", pa.uint64()), ("high", pa.uint64())], _GONE: own, _OPEN: [("cell", pa.uint32()), *own]}[kind])
+
+
+def _place(cell: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a cell and the bits that tell it from others there."""
+    return ((cell >> _U(32)) % _U(parts)).astype(np.int64), (cell & _mask(32)).astype(np.uint32)
+
+
+def _later_copies(sid: np.ndarray, ids: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first row of each sid by id and line, and of the rest."""
+    order = np.lexsort((line, ids, sid))
+    first = np.append(True, sid[order][1:] != sid[order][:-1])[: len(order)]
+    return order[first], order[~first]
+
+
+def packed_lines(docs: DataFrame, id_col: str, text_col: str, rarity: np.ndarray, parts: int, only: np.ndarray | None = None) -> DataFrame:
+    """(part, kind, size, body): set keys of the lines that a task has not seen, later copies of others, and prefix cells.
+
+    With only, a table of bits, nothing but cells whose low bits are set there.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((np.minimum(np.log2(rarity.astype(float) + 1) * 2, 63).astype(np.uint8), only))  # BUCKETS bytes each
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        scale, wanted = shared.value
+        ids, line, sid, n, low, high, cell, row, pos = (pa.chunked_array([h[k] for h in held]).combine_chunks() if k == 0 else np.concatenate([h[k] for h in held]) for k in range(9))
+        place = lambda at: {"id": ids.take(pa.array(at)), "line": pa.array(line[at])}
+        first, later = _later_copies(sid, ids.to_numpy(zero_copy_only=False), line)
+        if wanted is None:
+            if len(later):
+                yield _pack(np.full(len(later), int(sid[later[0]] % _U(parts))), _GONE, place(later))
+            yield _pack((sid[first] % _U(parts)).astype(np.int64), _KEYS, {"sid": pa.array(sid[first]), **place(first)})
+        keep = np.zeros(len(line), bool)
+        keep[first] = True
+        use = keep[row]
+        if wanted is not None:
+            use &= wanted[(cell & _U(BUCKETS - 1)).astype(np.int64)]
+        cell, row, pos = cell[use], row[use], pos[use]
+        part, short = _place(cell, parts)
+        order = np.argsort(short, kind="stable")
+        part, short, row, pos = part[order], short[order], row[order], pos[order]
+        yield _pack(part, _CELLS, {"cell": pa.array(short), **place(row), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "low": pa.array(low[row]), "high": pa.array(high[row])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale, held, rows, cells = shared.value[0], [], 0, 0
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column("text"))
+            own = batch.column("id")
+            for i, j in K.chunks(offsets):
+                raw = data[offsets[i] : offsets[j]]
+                bounds, doc, number = _line_bounds(raw, offsets[i : j + 1] - offsets[i])
+                for a in range(0, len(doc), MOST_ROWS):
+                    b = min(a + MOST_ROWS, len(doc))
+                    h, ptr = word_sets(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                    n = ptr[1:] - ptr[:-1]
+                    sid = K.mix(K.segment_sums(K.mix(h), ptr) ^ K.mix(n.astype(_U)))
+                    low, high = sketches(h, ptr)
+                    cell, row, pos = prefix_cells(h, ptr, scale)
+                    at = np.flatnonzero(n >= LEAST_WORDS)
+                    back = np.cumsum(n >= LEAST_WORDS) - 1 + rows
+                    held.append((own.take(pa.array(doc[a:b][at] + i)), number[a:b][at], sid[at], n[at], low[at], high[at], cell, back[row], pos))
+                    rows += len(at)
+                    cells += len(cell)
+                    if cells >= FLUSH or rows >= FLUSH:
+                        yield from flush(held)
+                        held, rows, cells = [], 0, 0
+        if rows:
+            yield from flush(held)
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, _PACKED)
+
+
 def _may_match(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length, prefix and positional filter for a word at position i of a set of n and j of a set of m."""
+    """Length, prefix and positional filter for a first common word at position i of a set of n and j of a set of m."""
     small_first = n <= m
     little, lot = np.minimum(n, m), np.maximum(n, m)
     in_index = np.where(small_first, i < _index(n), j < _index(m)) | ((n == m) & (j < _index(m)))
-    return (DEN * little >= NUM * lot) & in_index & (1 + np.minimum(n - i, m - j) - 1 >= _least_overlap(n, m))
+    return (DEN * little >= NUM * lot) & in_index & (np.minimum(n - i, m - j) >= _least_overlap(n, m))
+
+
+_FOUND = ["xi", "xl", "yi", "yl", "part", "cell"]
+
+
+class _Cells:
+    """The sets of one part, sorted by cell, and the pairs of them that pass all filters."""
+
+    def __init__(self, table: pa.Table):
+        cell = table.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        self.cell = cell[order]
+        self.ids_arrow = table.column("id").combine_chunks().take(pa.array(order))
+        self.ids = self.ids_arrow.to_numpy(zero_copy_only=False)
+        self.line, self.n, self.pos = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("line", "n", "pos"))
+        self.low, self.high = (table.column(c).to_numpy()[order] for c in ("low", "high"))
+        cut = np.flatnonzero(np.concatenate([[True], self.cell[1:] != self.cell[:-1], [True]])) if len(cell) else np.zeros(1, np.int64)
+        self.heads, self.sizes = cut[:-1], np.diff(cut)
+
+    def filtered(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that may match, and the least words by which they differ."""
+        n, p = self.n, self.pos
+        ok = _may_match(n[x], p[x], n[y], p[y])
+        x, y = x[ok], y[ok]
+        d = _differ(self.low, self.high, n, x, y)
+        ok = d <= n[x] + n[y] - 2 * _least_overlap(n[x], n[y])
+        return x[ok], y[ok], d[ok]
+
+    def ordered(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x the later of each pair; rows of one place are no pair."""
+        same = self.ids[x] == self.ids[y]
+        swap = np.where(same, self.line[x] < self.line[y], self.ids[x] < self.ids[y]).astype(bool)
+        other = ~(same & (self.line[x] == self.line[y])).astype(bool)
+        return np.where(swap, y, x)[other], np.where(swap, x, y)[other]
+
+    def small(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs under cells of CROWD sets or fewer."""
+        for size in np.unique(self.sizes[(self.sizes > 1) & (self.sizes <= CROWD)]):
+            at = self.heads[self.sizes == size]
+            j, i = np.triu_indices(int(size), 1)
+            step = max(1, 1_000_000 // len(i))
+            for s in range(0, len(at), step):
+                x, y, _ = self.filtered((at[s : s + step, None] + i[None, :]).ravel(), (at[s : s + step, None] + j[None, :]).ravel())
+                yield self.ordered(x, y)
+
+    def crowded(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs under larger cells, and the sets that more may match than are told."""
+        none = np.zeros(0, np.int64)
+        for head, size in zip(self.heads[self.sizes > CROWD], self.sizes[self.sizes > CROWD], strict=True):
+            member = np.arange(head, head + size)
+            member = member[np.lexsort((self.line[member], self.ids[member]))]
+            rank = np.empty(size, np.int64)
+            rank[member - head] = np.arange(size)
+            active, got = np.arange(1, size), [none, none, none]
+            for b in range(0, size, STEP):
+                earlier, told = np.arange(b, min(b + STEP, size)), [got]
+                active = active[active > b]
+                for s in range(0, len(active), 2048):
+                    x, y = np.repeat(active[s : s + 2048], len(earlier)), np.tile(earlier, len(active[s : s + 2048]))
+                    before = y < x
+                    told.append(self.filtered(member[x[before]], member[y[before]]))
+                got = [np.concatenate(v) for v in zip(*told, strict=True)]
+                place = rank[got[0] - head]
+                full = np.bincount(place, minlength=size) >= MANY
+                done = full[place]
+                if done.any():
+                    x, y, d = (v[done] for v in got)
+                    order = np.lexsort((y, d, x))
+                    x, y = x[order], y[order]
+                    nth = np.arange(len(x)) - np.searchsorted(x, x)
+                    yield x[nth < CLOSEST], y[nth < CLOSEST], member[full]
+                    got = [v[~done] for v in got]
+                    active = active[~full[active]]
+            yield got[0], got[1], none
+
+    def of(self, cell: np.ndarray, ids: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of the open sets (cell, id, line) with earlier ones under the cell."""
+        for c in np.unique(cell):
+            a, b = np.searchsorted(self.cell, c, "left"), np.searchsorted(self.cell, c, "right")
+            group = np.arange(a, b)
+            mine = cell == c
+            wanted = set(zip(ids[mine].tolist(), line[mine].tolist(), strict=True))
+            opened = np.array([g for g in group.tolist() if (self.ids[g], self.line[g]) in wanted], np.int64)
+            step = max(1, 1_000_000 // max(1, len(group)))
+            for s in range(0, len(opened), step):
+                x, y, _ = self.filtered(np.repeat(opened[s : s + step], len(group)), np.tile(group, len(opened[s : s + step])))
+                later, earlier = self.ordered(x, y)
+                ok = np.isin(later, opened)
+                yield later[ok], earlier[ok]
+
+
+def found_pairs(packed: DataFrame, parts: int, kind: str, id_type: pa.DataType) -> DataFrame:
+    """(xi, xl, yi, yl, part, cell) from packed_lines(): lines gone as copies (yi and cell null), pairs to verify, the later
+    line first, and with cell lines of which not all pairs are told."""
+
+    def unpacked(rows: list[tuple], which: int) -> pa.Table:
+        schema = _schema(which, id_type)
+        batches = [pa.ipc.read_record_batch(pa.decompress(body, size, _CODEC), schema) for kind, size, body in rows if kind == which]
+        return pa.Table.from_batches(batches, schema)
+
+    def out(xi: pa.Array, xl, yi=None, yl=None, part=None, cell=None) -> pa.RecordBatch:
+        m = len(xi)
+        none = pa.nulls(m, pa.int64())
+        columns = [xi, pa.array(xl), pa.nulls(m, id_type) if yi is None else yi, none if yl is None else pa.array(yl), none if part is None else pa.array(np.full(m, part)), none if cell is None else pa.array(cell.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=_FOUND)
+
+    def solve(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        gone, keys, opened = unpacked(rows, _GONE), unpacked(rows, _KEYS), unpacked(rows, _OPEN)
+        if gone.num_rows:
+            yield out(gone.column("id").combine_chunks(), gone.column("line").to_numpy())
+        if keys.num_rows:
+            ids, line = keys.column("id").combine_chunks(), keys.column("line").to_numpy()
+            _, later = _later_copies(keys.column("sid").to_numpy(), ids.to_numpy(zero_copy_only=False), line)
+            yield out(ids.take(pa.array(later)), line[later])
+        table = unpacked(rows, _CELLS)
+        if not table.num_rows:
+            return
+        cells = _Cells(table)
+        pairs = lambda x, y: out(cells.ids_arrow.take(pa.array(x)), cells.line[x], cells.ids_arrow.take(pa.array(y)), cells.line[y])
+        if opened.num_rows:
+            for x, y in cells.of(opened.column("cell").to_numpy(), opened.column("id").combine_chunks().to_numpy(zero_copy_only=False), opened.column("line").to_numpy()):
+                yield pairs(x, y)
+            return
+        if any(kind == _OPEN for kind, _, _ in rows):
+            return
+        for x, y in cells.small():
+            yield pairs(x, y)
+        for x, y, more in cells.crowded():
+            yield pairs(*cells.ordered(x, y))
+            yield out(cells.ids_arrow.take(pa.array(more)), cells.line[more], part=part, cell=cells.cell[more])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for part, which, size, body in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "size", "body")), strict=True):
+                if part != now and rows:
+                    yield from solve(now, rows)
+                    rows = []
+                now = part
+                rows.append((which, size, body))
+        if rows:
+            yield from solve(now, rows)
 
-def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Batches sorted by word as tables of about size rows that don't part a word."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= size:
-            table = pa.Table.from_batches(held).combine_chunks()
-            word = table.column("word").to_numpy()
-            cut = int(np.searchsorted(word, word[-1]))
-            if cut:
-                yield table.slice(0, cut)
-                held, rows = table.slice(cut).to_batches(), len(word) - cut
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+    count = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packed.repartition(count, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, f"xi {kind}, xl long, yi {kind}, yl long, part long, cell long")
 
 
-_PAIR = ["xi", "xl", "yi", "yl"]
+def _lines_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
+    """(id, line_no, line) of the lines of wanted(id, line_no)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, number, line = [], [], []
+            for k, (text, lines) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True)):
+                cut = text.split("\n")
+                for i in lines:
+                    if i < len(cut):
+                        at.append(k)
+                        number.append(i)
+                        line.append(cut[i])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(number, pa.int64()), pa.array(line, pa.string())], names=["id", "line_no", "line"])
 
-def candidates(kind: str, crowd: int | None):
-    """Pairs (x, y) of sets under one word that pass the filters, y the earlier one; rows are sorted by word, id, line_no.
+    lists = wanted.groupBy(F.col("id").alias("_wid")).agg(F.collect_set("line_no").alias("lines"))
+    met = _texts(docs, id_col, text_col).join(lists, F.col("id") == F.col("_wid")).select("id", "text", "lines")
+    return met.mapInArrow(run, f"id {kind}, line_no long, line string")
 
-    With crowd: words with more sets give pairs with leaders only, the first sets of each band of sizes, and their
-    rows once more with null y, for the second round. Without: all pairs of an unresolved x (open true) and earlier y.
-    """
 
-    def pairs_of(n: np.ndarray, p: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for size in np.unique(sizes):
-            at = heads[sizes == size]
-            if size > 4 * CROWD:
-                for h in at:
-                    for b in range(int(size)):
-                        y, x = np.full(int(size) - b - 1, h + b), np.arange(h + b + 1, h + size)
-                        ok = _may_match(n[x], p[x], n[y], p[y])
-                        yield x[ok], y[ok]
-                continue
-            j, i = np.triu_indices(int(size), 1)
-            step = max(1, 1_000_000 // len(i))
-            for s in range(0, len(at), step):
-                x, y = (at[s : s + step, None] + i[None, :]).ravel(), (at[s : s + step, None] + j[None, :]).ravel()
-                ok = _may_match(n[x], p[x], n[y], p[y])
-                yield x[ok], y[ok]
-
-    def opened_pairs(n: np.ndarray, p: np.ndarray, head: np.ndarray, opened: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        many = np.cumsum(opened - head[opened])
-        for part in np.split(opened, np.unique(np.searchsorted(many, np.arange(1_000_000, many[-1] if len(many) else 0, 1_000_000)))):
-            before = part - head[part]
-            x = np.repeat(part, before)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(before) - before, before) + head[x]
-            ok = _may_match(n[x], p[x], n[y], p[y])
-            yield x[ok], y[ok]
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line_no): the first of the pairs (xi, xl, yi, yl) whose lines have the similarity; whole lines are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 400_000):
-            word, both = table.column("word").to_numpy(), table.column("np").to_numpy()
-            n, p, sig = both >> 32, both & 0xFFFFFFFF, table.column("sig").to_numpy()
-            ids, line = table.column("id").combine_chunks(), table.column("line_no").combine_chunks()
-            cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
-            sizes, heads = np.diff(cut), cut[:-1]
-            more, rest = sizes > 1, np.zeros(0, np.int64)
-            found: list[tuple[np.ndarray, np.ndarray]] | Iterator[tuple[np.ndarray, np.ndarray]] = []
-            if crowd:
-                big = sizes > crowd
-                more &= ~big
-                for h, size in zip(heads[big], sizes[big], strict=True):
-                    member = np.arange(h, h + size)
-                    band = np.floor(np.log(n[member]) / np.log(DEN / NUM)).astype(np.int64)
-                    for b in np.unique(band):
-                        lead = member[band == b][:4]
-                        near = member[(band >= b - 1) & (band <= b + 1)]
-                        x, y = np.repeat(near, len(lead)), np.tile(lead, len(near))
-                        ok = (y < x) & _may_match(n[x], p[x], n[y], p[y])
-                        found.append((x[ok], y[ok]))
-                    rest = np.append(rest, member)
-                found += pairs_of(n, p, heads[more], sizes[more])
-            else:
-                opened = table.column("open").to_numpy(zero_copy_only=False)
-                found = opened_pairs(n, p, np.repeat(heads, sizes), np.flatnonzero(opened))
-            for x, y in found:
-                # each bit that differs takes a word that only one of the sets has
-                ok = np.bitwise_count((sig[x] ^ sig[y]).view(_U)) <= n[x] + n[y] - 2 * _least_overlap(n[x], n[y])
-                if ok.any():
-                    x, y, none = pa.array(x[ok]), pa.array(y[ok]), pa.nulls(int(ok.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.take(x), line.take(x), ids.take(y), line.take(y), none, none, none], names=[*_PAIR, "word", "np", "sig"])
-            if len(rest):
-                at = pa.array(rest)
-                yield pa.RecordBatch.from_arrays([ids.take(at), line.take(at), pa.nulls(len(rest), ids.type), pa.nulls(len(rest), pa.int64()), pa.array(word[rest]), pa.array(both[rest]), pa.array(sig[rest])], names=[*_PAIR, "word", "np", "sig"])
-
-    return run, f"xi {kind}, xl long, yi {kind}, yl long, word long, np long, sig long"
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (xi, xl, yi, yl) those whose lines have the similarity; whole lines are compared."""
+        for batch in batches:
+            good = []
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                a, b = (set(t.encode().lower().split()) for t in (x, y))  # of bytes: ASCII case and white space only
+                both = len(a & b)
+                if DEN * both >= NUM * (len(a) + len(b) - both):
+                    good.append(k)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("xi").take(at), batch.column("xl").take(at)], names=["id", "line_no"])
+
+    kind = pairs.schema["xi"].dataType.simpleString()
+    left = lines.select(F.col("id").alias("xi"), F.col("line_no").alias("xl"), F.col("line").alias("x"))
+    right = lines.select(F.col("id").alias("yi"), F.col("line_no").alias("yl"), F.col("line").alias("y"))
+    met = pairs.join(left, ["xi", "xl"]).join(right, ["yi", "yl"]).select("xi", "xl", "x", "y")
+    return met.mapInArrow(run, f"id {kind}, line_no long").distinct()
+
+
+def _matched(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
+    """The lines of the verified pairs of found, written."""
+    pairs = materialise(found.where("yi is not null").select("xi", "xl", "yi", "yl").distinct(), "line-pairs")
+    each = pairs.select(F.col("xi").alias("id"), F.col("xl").alias("line_no")).unionAll(pairs.select("yi", "yl"))
+    lines = materialise(_lines_of(docs, each, id_col, text_col, kind), "pair-lines")
+    out = materialise(verified(pairs, lines), "matched-lines")
+    release(pairs, lines)
+    return out
+
+
+def _opened(open_cells: DataFrame, id_type: pa.DataType) -> DataFrame:
+    """Rows (xi, xl, part, cell) in the form of packed_lines()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, ptrs = [], []
-            for c in ("x", "y"):
-                data, offsets = K.text_bytes(batch.column(c))
-                hs, ps, base = [], [np.zeros(1, np.int64)], 0
-                for i, j in _pieces(offsets):
-                    h, ptr = word_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    hs.append(h)
-                    ps.append(ptr[1:] + base)
-                    base += len(h)
-                words.append(np.concatenate(hs) if hs else np.zeros(0, _U))
-                ptrs.append(np.concatenate(ps))
-            n, m = (p[1:] - p[:-1] for p in ptrs)
-            rows = np.arange(batch.num_rows)
-            both = np.zeros(batch.num_rows, np.int64)
-            for s in range(0, batch.num_rows, MOST_ROWS):
-                e = min(s + MOST_ROWS, batch.num_rows)
-                key = np.sort(np.concatenate([(np.repeat(rows[s:e] - s, k[s:e]).astype(_U) << _U(WORD_BITS)) | w[p[s] : p[e]] for w, p, k in zip(words, ptrs, (n, m), strict=True)]))
-                same = key[1:][key[1:] == key[:-1]] >> _U(WORD_BITS)
-                both[s:e] = np.bincount(same.astype(np.int64), minlength=e - s)
-            good = np.flatnonzero(DEN * both >= NUM * (n + m - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in _PAIR], names=_PAIR)
+            if batch.num_rows:
+                yield _pack(batch.column("part").to_numpy(), _OPEN, {"cell": pa.array(batch.column("cell").to_numpy().astype(np.uint32)), "id": batch.column("xi").cast(id_type), "line": batch.column("xl")})
 
-    kind = pairs.schema["xi"].dataType.simpleString()
-    left = sets.select(F.col("id").alias("xi"), F.col("line_no").alias("xl"), F.col("line").alias("x"))
-    right = sets.select(F.col("id").alias("yi"), F.col("line_no").alias("yl"), F.col("line").alias("y"))
-    return pairs.join(left, ["xi", "xl"]).join(right, ["yi", "yl"]).select(*_PAIR, "x", "y").mapInArrow(run, f"xi {kind}, xl long, yi {kind}, yl long")
+    return open_cells.select("xi", "xl", "part", "cell").mapInArrow(run, _PACKED)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no): the lines that have a match at an earlier place (smaller id, then smaller line number).
 
-    Lines are the parts between newlines, numbered from 0. Ids are expected to be unique and not null: rows of one id
-    are taken as one place, of which the lines of equal number are one; rows with a null id are left alone.
+    Lines are the parts between newlines, numbered from 0. Ids are expected to be unique: rows of one id are taken as one
+    place, of which the lines of equal number are one; rows with a null id are left alone. Null texts have no lines to
+    remove, nor have empty tables; a line may be of any length; other columns are not read.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     docs = docs.where(F.col(id_col).isNotNull())
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    parts = max(PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rarity = word_counts(docs, text_col)
-    lines = materialise(line_sets(docs, id_col, text_col), "lines")
-    first = lines.groupBy("sid").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("copies"))
-    first = materialise(first.select("sid", "at.*", "copies"), "first-lines")
-    texts = lines.where("line is not null").repartition("sid").sortWithinPartitions("sid").mapInArrow(_first_rows(kind), f"sid long, id {kind}, line_no long, n long, line string")
-    sets = materialise(texts.select("sid", "line").join(first, "sid").select("id", "line_no", "line"), "sets")
-    run, ddl = candidates(kind, CROWD)
-    dealt = prefixes(sets, rarity).repartition("word").sortWithinPartitions("word", "id", "line_no")
-    near = materialise(dealt.mapInArrow(run, ddl), "candidates")
-    pairs = materialise(near.where("yi is not null").select(*_PAIR).distinct(), "pairs")
-    matched = materialise(verified(pairs, sets).select(F.col("xi").alias("id"), F.col("xl").alias("line_no")).distinct(), "matched")
-    crowds = near.where("yi is null").select("word", "np", "sig", F.col("xi").alias("id"), F.col("xl").alias("line_no"))
-    if not crowds.isEmpty():
-        opened = crowds.join(matched.withColumn("open", F.lit(False)), ["id", "line_no"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
-        run, ddl = candidates(kind, None)
-        again = materialise(opened.repartition("word").sortWithinPartitions("word", "id", "line_no").mapInArrow(run, ddl).select(*_PAIR).distinct(), "pairs")
-        matched = materialise(matched.unionAll(verified(again, sets).select(F.col("xi").alias("id"), F.col("xl").alias("line_no"))).distinct(), "matched")
-    copies = lines.select("sid", "id", "line_no").join(first.where("copies > 1").select("sid", F.col("id").alias("fi"), F.col("line_no").alias("fl")), "sid").where("not (id = fi and line_no = fl)").select("id", "line_no")
-    return copies.unionAll(matched).withColumnRenamed("id", id_col)
+    found = materialise(found_pairs(packed_lines(docs, id_col, text_col, rarity, parts), parts, kind, id_type), "found-lines")
+    copies = found.where("yi is null and cell is null").select(F.col("xi").alias("id"), F.col("xl").alias("line_no"))
+    gone = copies.unionAll(_matched(found, docs, id_col, text_col, kind)).distinct()
+    gone = materialise(gone, "gone-lines")
+    more = found.where("cell is not null").join(gone.select(F.col("id").alias("xi"), F.col("line_no").alias("xl")), ["xi", "xl"], "left_anti")
+    more = materialise(more, "open-lines")
+    release(found)
+    low = [r[0] for r in more.select(F.col("cell").bitwiseAND(F.lit(BUCKETS - 1))).distinct().collect()]  # BUCKETS at most
+    if low:
+        only = np.zeros(BUCKETS, bool)
+        only[low] = True
+        again = packed_lines(docs, id_col, text_col, rarity, parts, only).unionAll(_opened(more, id_type))
+        rest = materialise(found_pairs(again, parts, kind, id_type), "found-lines")
+        gone = gone.unionAll(_matched(rest, docs, id_col, text_col, kind)).distinct()
+        release(rest)
+    return gone.withColumnRenamed("id", id_col)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _without(lines: Column, numbers: Column) -> Column:
+    """The runs of lines between those of the numbers, each sliced once."""
+    ends = F.concat(F.array(F.lit(-1).cast("long")), F.sort_array(numbers), F.array(F.size(lines).cast("long")))
+
+    def runs(own: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(own["ends"]) - 2)
+        end = lambda k: F.get(own["ends"], k).cast("int")
+        return F.flatten(F.transform(at, lambda k: F.slice(own["lines"], end(k) + 2, end(k + 1) - end(k) - 1)))
+
+    return F.get(F.transform(F.array(F.struct(lines.alias("lines"), ends.alias("ends"))), runs), F.lit(0))
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with two more columns, n_lines and n_removed, and without the lines of repeated_lines() in the text column.
 
-    A null text stays null (n_lines 0). Rows whose id is null and blank lines stay.
+    A null text stays null (n_lines 0). Rows whose id is null and blank lines stay, as do repeated rows, which lose the same
+    lines. Columns n_lines and n_removed that docs has already give way; all others stay, whatever their names.
     """
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, docs[id_col] == gone["_gone_id"], "left").drop("_gone_id")
+    key, lost = _free(docs, "_gone_id"), _free(docs, "_gone")
+    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line_no").alias(lost))
+    plain = docs.select(*(c for c in (F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed"))))
+    met = plain.join(gone, plain[id_col] == gone[key], "left").drop(key)
     split = F.split(F.col(text_col), "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_gone", i.cast("long"))), "\n"))
-    return joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: kept}).drop("_gone")
+    numbers = {"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(lost), F.lit(0)).cast("long")}
+    cut = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(_without(split, F.col(lost)), "\n"))
+    return met.withColumns(numbers | {text_col: cut}).drop(lost)
