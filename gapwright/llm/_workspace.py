@@ -24,10 +24,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes df once and returns the written table. Lost executors cost no recomputation beyond it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._gapwright_path = path
     return table

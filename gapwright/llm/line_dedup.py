@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +195,7 @@ _KEYS, _CELLS, _GONE, _OPEN = range(4)
 
 def _schema(kind: int, id_type: pa.DataType) -> pa.Schema:
     own = [("id", id_type), ("line", pa.int64())]
-    return pa.schema({_KEYS: [("sid", pa.uint64()), *own], _CELLS: [("cell", pa.uint32()), *own, ("n", pa.int32()), ("pos", pa.int32()), ("low", pa.uint64()), ("high", pa.uint64())], _GONE: own, _OPEN: [("cell", pa.uint32()), *own]}[kind])
+    return pa.schema({_KEYS: [("sid", pa.uint64()), *own], _CELLS: [("cell", pa.uint32()), *own, ("n", pa.int32()), ("pos", pa.int32()), ("low", pa.uint64()), ("high", pa.uint64()), ("tag", pa.uint16())], _GONE: own, _OPEN: [("cell", pa.uint32()), *own]}[kind])
 
 
 def _place(cell: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,36 +210,28 @@ def _later_copies(sid: np.ndarray, ids: np.ndarray, line: np.ndarray) -> tuple[n
     return order[first], order[~first]
 
 
-def packed_lines(docs: DataFrame, id_col: str, text_col: str, rarity: np.ndarray, parts: int, only: np.ndarray | None = None) -> DataFrame:
-    """(part, kind, size, body): set keys of the lines that a task has not seen, later copies of others, and prefix cells.
-
-    With only, a table of bits, nothing but cells whose low bits are set there.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((np.minimum(np.log2(rarity.astype(float) + 1) * 2, 63).astype(np.uint8), only))  # BUCKETS bytes each
+def packed_lines(docs: DataFrame, id_col: str, text_col: str, rarity: np.ndarray, parts: int) -> DataFrame:
+    """(part, kind, size, body): set keys of the lines that a task has not seen, later copies of others, and prefix cells."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(rarity.astype(float) + 1) * 2, 63).astype(np.uint8))  # BUCKETS bytes
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        scale, wanted = shared.value
         ids, line, sid, n, low, high, cell, row, pos = (pa.chunked_array([h[k] for h in held]).combine_chunks() if k == 0 else np.concatenate([h[k] for h in held]) for k in range(9))
         place = lambda at: {"id": ids.take(pa.array(at)), "line": pa.array(line[at])}
         first, later = _later_copies(sid, ids.to_numpy(zero_copy_only=False), line)
-        if wanted is None:
-            if len(later):
-                yield _pack(np.full(len(later), int(sid[later[0]] % _U(parts))), _GONE, place(later))
-            yield _pack((sid[first] % _U(parts)).astype(np.int64), _KEYS, {"sid": pa.array(sid[first]), **place(first)})
+        if len(later):
+            yield _pack(np.full(len(later), int(sid[later[0]] % _U(parts))), _GONE, place(later))
+        yield _pack((sid[first] % _U(parts)).astype(np.int64), _KEYS, {"sid": pa.array(sid[first]), **place(first)})
         keep = np.zeros(len(line), bool)
         keep[first] = True
         use = keep[row]
-        if wanted is not None:
-            use &= wanted[(cell & _U(BUCKETS - 1)).astype(np.int64)]
         cell, row, pos = cell[use], row[use], pos[use]
         part, short = _place(cell, parts)
         order = np.argsort(short, kind="stable")
         part, short, row, pos = part[order], short[order], row[order], pos[order]
-        yield _pack(part, _CELLS, {"cell": pa.array(short), **place(row), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "low": pa.array(low[row]), "high": pa.array(high[row])})
+        yield _pack(part, _CELLS, {"cell": pa.array(short), **place(row), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "low": pa.array(low[row]), "high": pa.array(high[row]), "tag": pa.array((sid[row] & _mask(16)).astype(np.uint16))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale, held, rows, cells = shared.value[0], [], 0, 0
+        scale, held, rows, cells = shared.value, [], 0, 0
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
             own = batch.column("id")
@@ -283,14 +274,29 @@ class _Cells:
     """The sets of one part, sorted by cell, and the pairs of them that pass all filters."""
 
     def __init__(self, table: pa.Table):
-        cell = table.column("cell").to_numpy()
-        order = np.argsort(cell, kind="stable")
-        self.cell = cell[order]
+        cell, low, high = (table.column(c).to_numpy() for c in ("cell", "low", "high"))
+        with np.errstate(over="ignore"):
+            order = np.argsort((cell.astype(_U) << _U(32)) | (K.mix(low + high * K.P1) >> _U(32)), kind="stable")
+        self.cell, self.low, self.high = cell[order], low[order], high[order]
         self.ids_arrow = table.column("id").combine_chunks().take(pa.array(order))
         self.ids = self.ids_arrow.to_numpy(zero_copy_only=False)
-        self.line, self.n, self.pos = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("line", "n", "pos"))
-        self.low, self.high = (table.column(c).to_numpy()[order] for c in ("low", "high"))
-        cut = np.flatnonzero(np.concatenate([[True], self.cell[1:] != self.cell[:-1], [True]])) if len(cell) else np.zeros(1, np.int64)
+        self.line, self.n, self.pos, tag = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("line", "n", "pos", "tag"))
+        self._without_twins(tag)
+
+    def _without_twins(self, tag: np.ndarray) -> None:
+        """Of neighbours under a cell that look alike the first by id and line stays; twins has the others with that one.
+        They have equal sets, or else (about once in 2^23 similar sets) meet all others in the second pass."""
+        like = np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in (self.cell, self.low, self.high, self.n, self.pos, tag)]))
+        run = np.cumsum(~like)
+        at = np.flatnonzero(like | np.append(like[1:], False))
+        at = at[np.lexsort((self.line[at], self.ids[at], run[at]))]
+        lead = np.append(True, run[at][1:] != run[at][:-1])[: len(at)]
+        self.twins = at[~lead], at[lead][np.cumsum(lead) - 1][~lead]
+        self.here = np.ones(len(self.cell), bool)
+        self.here[self.twins[0]] = False
+        self.at = np.flatnonzero(self.here)
+        own = self.cell[self.at]
+        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
         self.heads, self.sizes = cut[:-1], np.diff(cut)
 
     def filtered(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,17 +322,18 @@ class _Cells:
             j, i = np.triu_indices(int(size), 1)
             step = max(1, 1_000_000 // len(i))
             for s in range(0, len(at), step):
-                x, y, _ = self.filtered((at[s : s + step, None] + i[None, :]).ravel(), (at[s : s + step, None] + j[None, :]).ravel())
+                x, y, _ = self.filtered(self.at[(at[s : s + step, None] + i[None, :]).ravel()], self.at[(at[s : s + step, None] + j[None, :]).ravel()])
                 yield self.ordered(x, y)
 
     def crowded(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs under larger cells, and the sets that more may match than are told."""
         none = np.zeros(0, np.int64)
         for head, size in zip(self.heads[self.sizes > CROWD], self.sizes[self.sizes > CROWD], strict=True):
-            member = np.arange(head, head + size)
+            member = self.at[head : head + size]
+            first = member[0]
             member = member[np.lexsort((self.line[member], self.ids[member]))]
-            rank = np.empty(size, np.int64)
-            rank[member - head] = np.arange(size)
+            rank = np.zeros(int(member.max()) - first + 1, np.int64)
+            rank[member - first] = np.arange(size)
             active, got = np.arange(1, size), [none, none, none]
             for b in range(0, size, STEP):
                 earlier, told = np.arange(b, min(b + STEP, size)), [got]
@@ -336,7 +343,7 @@ class _Cells:
                     before = y < x
                     told.append(self.filtered(member[x[before]], member[y[before]]))
                 got = [np.concatenate(v) for v in zip(*told, strict=True)]
-                place = rank[got[0] - head]
+                place = rank[got[0] - first]
                 full = np.bincount(place, minlength=size) >= MANY
                 done = full[place]
                 if done.any():
@@ -350,7 +357,7 @@ class _Cells:
             yield got[0], got[1], none
 
     def of(self, cell: np.ndarray, ids: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of the open sets (cell, id, line) with earlier ones under the cell."""
+        """All pairs of the open sets (cell, id, line) with others under the cell."""
         for c in np.unique(cell):
             a, b = np.searchsorted(self.cell, c, "left"), np.searchsorted(self.cell, c, "right")
             group = np.arange(a, b)
@@ -360,14 +367,12 @@ class _Cells:
             step = max(1, 1_000_000 // max(1, len(group)))
             for s in range(0, len(opened), step):
                 x, y, _ = self.filtered(np.repeat(opened[s : s + step], len(group)), np.tile(group, len(opened[s : s + step])))
-                later, earlier = self.ordered(x, y)
-                ok = np.isin(later, opened)
-                yield later[ok], earlier[ok]
+                yield self.ordered(x, y)
 
 
 def found_pairs(packed: DataFrame, parts: int, kind: str, id_type: pa.DataType) -> DataFrame:
     """(xi, xl, yi, yl, part, cell) from packed_lines(): lines gone as copies (yi and cell null), pairs to verify, the later
-    line first, and with cell lines of which not all pairs are told."""
+    line first, and with a cell lines of which not all pairs under it are told."""
 
     def unpacked(rows: list[tuple], which: int) -> pa.Table:
         schema = _schema(which, id_type)
@@ -399,6 +404,8 @@ def found_pairs(packed: DataFrame, parts: int, kind: str, id_type: pa.DataType)
             return
         if any(kind == _OPEN for kind, _, _ in rows):
             return
+        x, y = cells.ordered(*cells.twins)
+        yield out(cells.ids_arrow.take(pa.array(x)), cells.line[x], cells.ids_arrow.take(pa.array(y)), cells.line[y], part, cells.cell[x])
         for x, y in cells.small():
             yield pairs(x, y)
         for x, y, more in cells.crowded():
@@ -496,22 +503,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.where(F.col(id_col).isNotNull())
     kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     parts = max(PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rarity = word_counts(docs, text_col)
-    found = materialise(found_pairs(packed_lines(docs, id_col, text_col, rarity, parts), parts, kind, id_type), "found-lines")
+    packed = materialise(packed_lines(docs, id_col, text_col, word_counts(docs, text_col), parts), "packed-lines", "uncompressed")
+    found = materialise(found_pairs(packed, parts, kind, id_type), "found-lines")
     copies = found.where("yi is null and cell is null").select(F.col("xi").alias("id"), F.col("xl").alias("line_no"))
-    gone = copies.unionAll(_matched(found, docs, id_col, text_col, kind)).distinct()
-    gone = materialise(gone, "gone-lines")
-    more = found.where("cell is not null").join(gone.select(F.col("id").alias("xi"), F.col("line_no").alias("xl")), ["xi", "xl"], "left_anti")
-    more = materialise(more, "open-lines")
+    gone = materialise(copies.unionAll(_matched(found, docs, id_col, text_col, kind)).distinct(), "gone-lines")
+    alike, left = (found.where(f"cell is not null and yi is {no} null").select("xi", "xl", "part", "cell") for no in ("not", ""))
+    known = (t.toDF("xi", "xl") for t in (copies.distinct(), gone))
+    more = [t.join(k, ["xi", "xl"], "left_anti") for t, k in zip((alike, left), known, strict=True)]
+    more = materialise(more[0].unionAll(more[1]).distinct(), "open-lines")
     release(found)
-    low = [r[0] for r in more.select(F.col("cell").bitwiseAND(F.lit(BUCKETS - 1))).distinct().collect()]  # BUCKETS at most
-    if low:
-        only = np.zeros(BUCKETS, bool)
-        only[low] = True
-        again = packed_lines(docs, id_col, text_col, rarity, parts, only).unionAll(_opened(more, id_type))
-        rest = materialise(found_pairs(again, parts, kind, id_type), "found-lines")
+    if not more.isEmpty():
+        own = packed.where(f"kind = {_CELLS}").join(more.select("part").distinct(), "part", "left_semi")
+        rest = materialise(found_pairs(own.unionAll(_opened(more, id_type)), parts, kind, id_type), "found-lines")
         gone = gone.unionAll(_matched(rest, docs, id_col, text_col, kind)).distinct()
         release(rest)
+    release(packed, more)
     return gone.withColumnRenamed("id", id_col)
 
 
