@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +29,34 @@ def with_rank(df: DataFrame, by: list[str], seed: int, tag: str, id_col: str, le
     same = [ranked[k].eqNullSafe(told[f"_k_{k}"]) for k in keys]
     joined = ranked.join(told, same).withColumn("rn", F.col("_before") + F.col("_in"))
     return joined.drop("_draw", "_bucket", "_size", "_before", "_in", *(f"_k_{k}" for k in keys))
+
+
+def cut_offs(df: DataFrame, wanted: dict[str, tuple[int, Column]], seed: int, id_col: str, lead: Column | None = None) -> dict[str, tuple]:
+    """tag -> (lead, draw, id) of the row that is the n-th by lead, draw and id, for wanted[tag] = (n, condition on rows).
+
+    Two scans whatever the number of tags: one counts leads and buckets of the draws, the other ranks the rows of one
+    bucket a tag. Tags whose condition holds for fewer rows are left out, those with n below 1 as well.
+    """
+    wanted = {t: w for t, w in wanted.items() if w[0] > 0}
+    if not wanted:
+        return {}
+    cells = [F.when(rows, F.struct(F.lit(t).alias("tag"), F.lit(n).alias("need"), (lead if lead is not None else F.lit(0)).alias("lead"), draw(seed, t, id_col).alias("draw"))) for t, (n, rows) in wanted.items()]
+    each = df.select(F.col(id_col).alias("id"), F.explode(F.array(*cells)).alias("x")).where("x is not null").select("id", "x.*").withColumn("bucket", F.substring("draw", 1, 4))
+    sizes = each.groupBy("tag", "need", "lead", "bucket").agg(F.count("*").alias("rows"))  # 65,536 a tag and lead at most
+    upto = sizes.withColumn("upto", F.sum("rows").over(Window.partitionBy("tag").orderBy("lead", "bucket")))
+    cuts = upto.where("upto >= need and upto - rows < need").select("tag", "lead", "bucket", (F.col("need") - F.col("upto") + F.col("rows")).alias("nth")).collect()  # a row a tag
+    if not cuts:
+        return {}
+    here = reduce(lambda a, b: a | b, ((F.col("tag") == c.tag) & (F.col("lead") == c.lead) & (F.col("bucket") == c.bucket) for c in cuts))
+    place = F.row_number().over(Window.partitionBy("tag").orderBy("draw", "id"))
+    nth = reduce(lambda a, b: a | b, ((F.col("tag") == c.tag) & (F.col("rn") == c.nth) for c in cuts))
+    return {r.tag: (r["lead"], r.draw, r.id) for r in each.where(here).withColumn("rn", place).where(nth).collect()}
+
+
+def up_to(cut: tuple | None, seed: int, tag: str, id_col: str, lead: Column | None = None) -> Column:
+    """Whether a row stands at the cut of cut_offs() or before; without a cut all rows do."""
+    if cut is None:
+        return F.lit(True)
+    own = draw(seed, tag, id_col)
+    here = (own < cut[1]) | ((own == cut[1]) & (F.col(id_col) <= F.lit(cut[2])))
+    return here if lead is None else (lead < cut[0]) | ((lead == cut[0]) & here)

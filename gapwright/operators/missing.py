@@ -3,39 +3,83 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ranking import with_rank
+from ..functions.ranking import cut_offs, up_to
 
 
-def inject(df: DataFrame, columns: list[str], rate: int, id_col: str, seed: int = 42) -> DataFrame:
-    """Sets round(n rate / 100) cells of each column to null, in rows with the fewest nulls so far, at random among these.
+def check_rates(rates: list[int]) -> None:
+    """Rates are whole per cents between 0 and 100, each larger than the one before."""
+    if not rates or any(not isinstance(r, int) or not 0 < r < 100 for r in rates) or any(a >= b for a, b in zip(rates, rates[1:], strict=False)):
+        raise ValueError(f"rates must be ascending whole numbers between 0 and 100: {rates}")
+
+
+def check_columns(df: DataFrame, columns: list[str], target: str | None = None) -> None:
+    """Columns that injection may empty exist and don't hold the target."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"no such columns: {missing}")
+    if target in columns:
+        raise ValueError(f"the target {target!r} takes no nulls")
+
 
-    Ranks do not depend on the rate in the first column and lower rates are subsets there; ties of rounding go to even.
-    Columns follow one another, as each one's choice depends on the nulls before it.
+def inject_rates(df: DataFrame, columns: list[str], rates: list[int], id_col: str, seed: int = 42) -> dict[int, DataFrame]:
+    """rate -> df with round(n rate / 100) cells of each column set to null (ties to even); nulls of df don't count.
+
+    Cells of a rate are empty at all higher ones. Columns follow one another: the cells that a rate adds go to the rows
+    with the fewest nulls so far, at random among these. Rows are read to place the cuts; each result is a projection.
     """
-    if not 0 < rate < 100:
-        raise ValueError("rate must lie between 0 and 100")
-    need = round(df.count() * rate / 100)
-    df = df.withColumn("_nulls", F.lit(0))
-    for c in columns:
-        ranked = with_rank(df.withColumn("_no", F.col(c).isNull()), ["_no"], seed, c, id_col, lead=["_nulls"])
-        picked = ~F.col("_no") & (F.col("rn") <= need)
-        df = ranked.withColumn(c, F.when(~picked, F.col(c))).withColumn("_nulls", F.col("_nulls") + picked.cast("int")).drop("rn", "n", "_no")
-    return df.drop("_nulls")
+    check_rates(rates)
+    check_columns(df, columns)
+    n, kept, out = df.count(), df.columns, {}
+    state = df.withColumn("_nulls", F.lit(0))
+    done = dict.fromkeys(columns, 0)
+    for rate in rates:
+        need = round(n * rate / 100)
+        for c in columns:
+            there, tag = F.col(c).isNotNull(), c if rate == rates[0] else f"{c}:{rate}"
+            cut = cut_offs(state, {tag: (need - done[c], there)}, seed, id_col, F.col("_nulls")).get(tag)
+            picked = there & (up_to(cut, seed, tag, id_col, F.col("_nulls")) if need > done[c] else F.lit(False))
+            state = state.select("*", picked.alias("_picked")).withColumns({c: F.when(~F.col("_picked"), F.col(c)), "_nulls": F.col("_nulls") + F.col("_picked").cast("int")}).drop("_picked")
+            done[c] = need
+        out[rate] = state.select(*kept)
+    return out
+
+
+def inject(df: DataFrame, columns: list[str], rate: int, id_col: str, seed: int = 42) -> DataFrame:
+    """inject_rates() at one rate."""
+    return inject_rates(df, columns, [rate], id_col, seed)[rate]
+
+
+def inject_seeds(df: DataFrame, columns: list[str], rates: list[int], id_col: str, seeds: list[int]) -> DataFrame:
+    """All seeds and rates as one table with the columns seed and rate."""
+    parts = [f.select(F.lit(s).alias("seed"), F.lit(r).alias("rate"), "*") for s in seeds for r, f in inject_rates(df, columns, rates, id_col, s).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inject_independent(df: DataFrame, columns: list[str], rate: int, id_col: str, seed: int = 42) -> DataFrame:
-    """Sets round(n rate / 100) cells of each column to null, completely at random, all columns in one pass of ranks each."""
+    """Sets round(n rate / 100) cells of each column to null, completely at random; two scans place the cuts of all columns."""
+    check_rates([rate])
+    check_columns(df, columns)
     need = round(df.count() * rate / 100)
-    for c in columns:
-        ranked = with_rank(df, [], seed, c, id_col)
-        df = ranked.withColumn(c, F.when(F.col("rn") > need, F.col(c))).drop("rn", "n")
-    return df
+    cuts = cut_offs(df, {c: (need, F.lit(True)) for c in columns}, seed, id_col)
+    return df.withColumns({c: F.when(~up_to(cuts[c], seed, c, id_col), F.col(c)) for c in columns if c in cuts})
+
+
+def verify_injection(parts: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """(split, col, n, n_null, rate, as_asked) of the saved splits: val and test must have no nulls."""
+    rows = [missing_summary(p, columns).select(F.lit(s).alias("split"), "*") for s, p in parts.items()]
+    return reduce(DataFrame.unionByName, rows).withColumn("as_asked", (F.col("split") == "train") | (F.col("n_null") == 0))
+
+
+def nulls_per_row(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(nulls, n_rows): how many rows have so many nulls."""
+    count = sum((F.col(c).isNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNull().cast("int"))
+    return df.groupBy(count.alias("nulls")).agg(F.count("*").alias("n_rows"))
 
 
 def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,7 +132,7 @@ def score_cells(truth: DataFrame, injected: DataFrame, imputed: DataFrame, id_co
     for c in (*categorical, *numeric):
         a, b = F.col(f"t.{c}"), F.col(f"i.{c}")
         if c in numeric:
-            a, b = a.cast("double"), b.cast("double")
+            a, b = a.try_cast("double"), b.try_cast("double")
             sim = F.greatest(F.least(1 - F.abs(a - b) / F.lit(spans[c] or 1.0), F.lit(1.0)), F.lit(0.0))
             kind, text = "num", (F.lit(None).cast("string"), F.lit(None).cast("string"))
         else:
