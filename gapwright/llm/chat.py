@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._workspace import materialise
+
 #: Fixed marks of a rendered turn. The same marks inside a text are broken up, so that no text can end its turn.
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -29,7 +31,8 @@ def one_turn(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 def preference_segments(chosen: DataFrame, rejected: DataFrame, id_col: str = "id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, part, turn, role, segment, loss_start, loss_end): rendered turns of each id that both tables hold or one does.
 
-    part is prompt for the longest common prefix of turns, which is rendered once, else chosen or rejected. Code points
+    Turns of both sides meet by their numbers, so both must count alike; gaps are no matter. part is prompt for the longest
+    common prefix of turns, which is rendered once, else chosen or rejected. Code points
     from loss_start up to loss_end of the segment carry loss: the text and end mark of assistant turns of completions; in
     other segments both are 0. Equal conversations are all prompt. Empty tables give no rows.
     """
@@ -73,8 +76,9 @@ def assemble(segments: DataFrame) -> DataFrame:
 def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) of a table of plain conversations: chosen is a conversation up to its last assistant turn,
     rejected is the same with the last answer of the neighbour (conv_id with the lowest bit flipped; none: empty).
-    Conversations without an assistant turn are the same on both sides."""
-    rows = one_turn(turns)
+    Conversations without an assistant turn are the same on both sides. Null ids and turns are left out, of repeated turns one
+    stays, null texts are empty, other columns are not read, an empty table gives empty ones."""
+    rows = materialise(one_turn(turns), "turns")
     last = rows.where(F.col("role") == LEARNED).groupBy("id").agg(F.max_by("text", "turn").alias("answer"), F.max("turn").alias("last"))
     other = last.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("answer").alias("other"))
     marked = rows.join(last.select("id", "last").join(other, "id", "left"), "id", "left").where("last is null or turn <= last")

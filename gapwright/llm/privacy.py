@@ -28,7 +28,9 @@ PATTERNS = {
 }
 #: A text without these has no match of the kind: cheap tests before the patterns.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: Classes of words that a term is generalised to.
+CLASSES = {"code": "[CODE]", "name": "[NAME]", "word": "[WORD]"}
 #: Disclosures from which terms are generalised and removed, and the least likelihood ratio statistic of a term and an
 #: entity (chi square with one degree of freedom, p = 0.001).
 GENERALISE, REMOVE, SIGNIFICANT = 0.95, 0.99, 10.83
@@ -143,12 +145,31 @@ def _groups(base: DataFrame) -> DataFrame:
     return entities.join(named, "entity").select("group", "n_e", "text_id").distinct()
 
 
+def _offsets(tokens: Column, at: Column) -> Column:
+    """ARRAY<token, offset> of the tokens at ascending indices; tokens are one separator apart, and each is passed once."""
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("offset"), F.array().cast("array<struct<token:string,offset:int>>").alias("out"))
+
+    def all_of(own: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            offset = F.aggregate(F.slice(own["tokens"], acc["i"] + 1, i - acc["i"]), acc["offset"], lambda a, x: a + F.char_length(x) + 1)
+            return F.struct(i.alias("i"), offset.alias("offset"), F.concat(acc["out"], F.array(F.struct(F.get(own["tokens"], i).alias("token"), offset.alias("offset")))).alias("out"))
+
+        return F.aggregate(own["at"], zero, step, lambda acc: acc["out"])
+
+    return F.get(F.transform(F.array(F.struct(tokens.alias("tokens"), at.alias("at"))), all_of), F.lit(0))
+
+
+def _class(word: Column) -> Column:
+    """What a word is generalised to: a code if it has digits, a name if it starts with a capital letter, else a word."""
+    return F.when(word.rlike(r"\p{Nd}"), "code").when(word.rlike(r"^\p{Lu}"), "name").otherwise("word")
+
+
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_id, email, ip, card, phone, term): spans of each kind, for every row of docs.
 
     A null text is empty; a null id keeps its row; repeated rows stay and have equal spans; an empty table gives no rows;
     other columns are not read. term spans are the words that disclose an entity, wherever they occur, outside of base spans
-    or not; their value is 'generalise' or 'remove'.
+    or not; their value is 'remove' or the class that they are generalised to: 'code', 'name' or 'word'.
     """
     plain = materialise(with_base(docs, id_col, text_col), "base-spans")
     terms = materialise(disclosing_terms(docs, plain, text_col), "terms")
@@ -156,18 +177,25 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = _member_test(terms.select(F.col("term").alias("word")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = docs.select(F.col(id_col), F.xxhash64(text).alias("text_id"), F.split(text, _SPACE).alias("tokens"))
-    hits = tokens.select(id_col, "text_id", "tokens", F.explode(places(F.col("tokens"), lambda t: wanted(_term(t)))).alias("i"))
-    token = F.get("tokens", F.col("i"))
-    # tokens are one separator apart
-    lead = F.char_length(token) - F.char_length(F.regexp_replace(token, r"^[^\p{L}\p{N}]+", ""))
-    start = F.aggregate(F.slice("tokens", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.char_length(x) + 1) + lead
-    hits = hits.select(id_col, "text_id", _term(token).alias("term"), start.alias("start"))
-    span = F.struct("start", (F.col("start") + F.char_length("term")).alias("end"), F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("value"))
+    hits = tokens.select(id_col, "text_id", "tokens", places(F.col("tokens"), lambda t: wanted(_term(t))).alias("at")).where(F.size("at") > 0)
+    hits = hits.select(id_col, "text_id", F.explode(_offsets(F.col("tokens"), F.col("at"))).alias("x")).select(id_col, "text_id", "x.token", "x.offset")
+    word = F.regexp_replace("token", r"^[^\p{L}\p{N}]+", "")
+    start = F.col("offset") + F.char_length("token") - F.char_length(word)
+    hits = hits.select(id_col, "text_id", _term(F.col("token")).alias("term"), start.alias("start"), _class(word).alias("class"))
+    span = F.struct("start", (F.col("start") + F.char_length("term")).alias("end"), F.when(F.col("disclosure") >= REMOVE, "remove").otherwise(F.col("class")).alias("value"))
     found = hits.join(terms, "term").groupBy(F.col(id_col).alias("_id"), F.col("text_id").alias("_text_id")).agg(F.array_sort(F.collect_set(span)).alias("term"))
     joined = plain.join(found, plain[id_col].eqNullSafe(found["_id"]) & (plain["text_id"] == found["_text_id"]), "left")
     return joined.select(id_col, "text_id", *KINDS, F.coalesce("term", F.array().cast(_SPAN)).alias("term"))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def listed(*kinds: str) -> Column:
     """kind:start:end of the kinds' spans, comma-joined, by kind as given and then start."""
     def of_kind(kind: str) -> Column:
@@ -177,22 +205,26 @@ def listed(*kinds: str) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text sanitised: base spans give way to their kind's label, disclosing terms to [TERM] or nothing.
+    """docs with its text sanitised: base spans give way to their kind's label, disclosing terms to that of their class
+    or nothing.
 
-    Of overlapping spans the first is replaced, the longer one at a tie. Null texts stay null.
+    Of overlapping spans the first is replaced, the longer one at a tie. Null texts stay null, null ids keep their rows,
+    repeated rows are treated alike; other columns stay, whatever their names; an empty table gives no rows.
     """
+    key, mark, every_span = (_free(docs, n) for n in ("_id", "_text_id", "_spans"))
     spans = personal_spans(docs, id_col, text_col).dropDuplicates([id_col, "text_id"])
     def of_kind(kind: str) -> Column:
         def labelled(s: Column) -> Column:
-            label = F.when((s["value"] == "remove") & F.lit(kind == "term"), "").otherwise(LABELS[kind])
+            of_class = F.coalesce(*(F.when(s["value"] == c, label) for c, label in CLASSES.items()), F.lit(""))
+            label = of_class if kind == "term" else F.lit(LABELS[kind])
             return F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), label.alias("label"))
 
         return F.transform(F.col(kind), labelled)
 
     every = reduce(F.concat, map(of_kind, (*KINDS, "term")))
-    spans = spans.select(F.col(id_col).alias("_id"), F.col("text_id").alias("_text_id"), F.array_sort(every).alias("_spans"))
+    spans = spans.select(F.col(id_col).alias(key), F.col("text_id").alias(mark), F.array_sort(every).alias(every_span))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(text) == spans["_text_id"]), "left")
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans[key]) & (F.xxhash64(text) == spans[mark]), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -200,5 +232,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ahead = s["start"] >= acc["at"]
         return F.struct(F.when(ahead, -s["back"]).otherwise(acc["at"]).alias("at"), F.when(ahead, more).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate(F.col("_spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    whole = F.aggregate(F.col(every_span), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return joined.withColumn(text_col, F.when(F.col(text_col).isNotNull(), whole)).select(*docs.columns)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from gapwright.llm._workspace import materialise
 from gapwright.llm import _kernels as K
 from gapwright.llm.queries_text import tokenizer_path
 
@@ -87,7 +88,7 @@ def test_stages_equal_plain_versions(spark, planted):
     docs, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     before = {r.doc_id: r for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir).localCheckpoint()
+        docs = materialise(stage(spark, docs, sf_dir), name)
         after = {r.doc_id: r for r in docs.collect()}
         assert len(after) == docs.count() and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         if name == "line_dedup":

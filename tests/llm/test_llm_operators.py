@@ -186,3 +186,104 @@ def test_quality(spark, odd):
     model = quality.fit(docs, labels)
     assert quality.classify(odd, model).count() == 9 and quality.classify(odd.limit(0), model).count() == 0
     assert quality.keep_good(odd, labels.limit(0)).count() == 9
+
+
+def test_terms_are_generalised_by_class(spark):
+    """Disclosure between the two thresholds: the term is also in a text without the entity."""
+    rows = [(i, f"write to zed@q.example.com about Zorblatt and unit77 today number {i}") for i in range(60)] + [(100 + i, f"plain text {i} about the weather today") for i in range(3000)] + [(9000 + i, f"about Zorblatt and unit77 alone {i}") for i in range(6)]
+    docs = docs_of(spark, rows).withColumn("_spans", F.lit(1)).withColumn("_id", F.lit("x"))
+    clean = {r.doc_id: r for r in privacy.sanitise(docs).collect()}
+    assert clean[0]["_spans"] == 1 and clean[0]["_id"] == "x" and clean[100].text == "plain text 0 about the weather today"
+    assert clean[9003].text == "about [NAME] [WORD] [CODE] alone 3"  # log(3066 / 66) / log(3066 / 60) = 0.976
+
+
+def test_packed_ids_equal_the_tokenizer(spark):
+    import random
+    import struct
+    import zlib
+
+    import tokenizers
+
+    rnd, model = random.Random(3), tokenizers.Tokenizer.from_file(tokenizer_path())
+    rows = [(i, "".join(rnd.choice("ab \n\té😀漢,.1Z'") for _ in range(rnd.choice([0, 1, 40, 900, 20000])))) for i in range(60)] + [(77, None)]
+    ids = {i: [*model.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    cover = {i: [] for i in ids}
+    for r in packing.pack(docs_of(spark, rows), tokenizer_path(), 2048).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert zlib.crc32(struct.pack(f"<{len(own)}I", *own)) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        cover[r.doc_id] += range(r.start, r.start + r.length)
+    assert all(sorted(c) == list(range(len(ids[i]))) for i, c in cover.items())
+
+
+def test_fingerprints_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(8)]
+    rows = [(10 * i + k, t if k == 0 else t.replace("w1 ", f"v{k} ", 1)) for i, t in enumerate(texts) for k in range(3)] + [(999, texts[0]), (1000, None), (1001, "")]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_with_edits(docs_of(spark, rows)).collect()}
+    order = sorted((i for i, _ in rows), reverse=True)
+    text = {i: t or "" for i, t in rows}
+    edited = {}
+    for a, b in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(text[a]) // 2
+        edited[a] = text[a][: len(text[a]) - half] + text[b][:half]
+        assert got[a].edited_sha256 == hashlib.sha256(edited[a].encode()).hexdigest() and got[a].next_fp == got[b].fp
+    plain = fingerprints.simhash(docs_of(spark, [(i, edited[i]) for i in order]).select("doc_id", "text"), ["doc_id"]).collect()
+    assert {r.doc_id: r.fp for r in plain} == {i: got[i].edited_fp for i in order}
+    fps = {i: got[i].fp & (1 << 64) - 1 for i in order}
+    lead = {i: i for i in order}
+    for _ in order:
+        lead = {x: min(lead[y] for y in order if (fps[x] ^ fps[y]).bit_count() <= 2) for x in order}
+    assert {i: got[i].class_id for i in order} == lead
+
+
+def test_edited_benchmark_copies_equal_brute_force(spark):
+    """Copies with words replaced, put in and left out, of items short and long, the long one with six words replaced."""
+    import random
+    from collections import Counter
+
+    rnd = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "rt", "lm", "st", "x")]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(n))) for i, n in enumerate((15, 25, 40, 59, 150, 420))]
+    docs = []
+    for d in range(120):
+        _, text = items[d % len(items)]
+        w = text.split()
+        for _ in range(rnd.randint(0, max(1, len(w) // 60))):
+            k = rnd.randrange(len(w))
+            w[k : k + 1] = [[rnd.choice(vocabulary)], [], [w[k], rnd.choice(vocabulary)]][rnd.randrange(3)]
+        docs.append((d, " ".join([rnd.choice(vocabulary) for _ in range(30)] + w + [rnd.choice(vocabulary) for _ in range(20)])))
+    long = items[-1][1].split()
+    for k in range(6):
+        long[35 + 70 * k] = "replaced"
+    docs.append((500, " ".join(["lead"] * 9 + long + ["tail"] * 9)))
+
+    def shingles(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    expected = set()
+    for d, t in docs:
+        words = t.split()
+        for i, text in items:
+            item, n = shingles(text.split()), len(text.split())
+            if any(5 * sum((s & item).values()) >= 4 * sum((s | item).values()) for s in (shingles(words[k : k + n]) for k in range(len(words)))):
+                expected.add((d, i))
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == expected and (500, 5) in found and len(found) > 60
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    """Equal texts: the site decides, and a site of one label less than one of many."""
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 2 == 0
+        words = "clear useful guide to the tools" if good else "click buy cheap pills now now"
+        rows.append((i, f"{words} {i % 7} " * 6, "en", "good.site" if good else "bad.site", 100, 7, 7, "x"))
+        labels.append((i, int(good), 0))
+    rows += [(1000 + i, t, "en", s, 1, 7, 7, "x") for i, (t, s) in enumerate((("neutral words", "good.site"), ("neutral words", "bad.site"), ("neutral words", "new.site"), (None, None)))]
+    docs = spark.createDataFrame(rows, DOCS)
+    told = {r.doc_id: r for r in quality.classify(docs, quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=quality.SAMPLE)).collect()}
+    assert told[1000].p_low < told[1002].p_low < told[1001].p_low and len(told) == len(rows)
+    assert sum((told[i].p_low < 0.5) == (i % 2 == 0) for i in range(400)) >= 396
