@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,12 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return table
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs, which otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of materialise() that nothing will read again."""
     for table in tables:

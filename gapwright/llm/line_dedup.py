@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._workspace import materialise, release
+from ._workspace import free_shuffles, materialise, release
 
 #: Similarity in fractions, for exact integer arithmetic: numerator and denominator.
 NUM, DEN = 4, 5
@@ -505,6 +505,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = materialise(packed_lines(docs, id_col, text_col, word_counts(docs, text_col), parts), "packed-lines", "uncompressed")
     found = materialise(found_pairs(packed, parts, kind, id_type), "found-lines")
+    free_shuffles(docs.sparkSession)
     copies = found.where("yi is null and cell is null").select(F.col("xi").alias("id"), F.col("xl").alias("line_no"))
     gone = materialise(copies.unionAll(_matched(found, docs, id_col, text_col, kind)).distinct(), "gone-lines")
     alike, left = (found.where(f"cell is not null and yi is {no} null").select("xi", "xl", "part", "cell") for no in ("not", ""))
@@ -518,6 +519,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = gone.unionAll(_matched(rest, docs, id_col, text_col, kind)).distinct()
         release(rest)
     release(packed, more)
+    free_shuffles(docs.sparkSession)
     return gone.withColumnRenamed("id", id_col)
 
 
