@@ -21,8 +21,8 @@ SIMILARITY = 0.8
 RADIUS = 32
 #: Least parts of an item with an anchor each, and words of a part that are counted to find its rarest.
 PARTS, TRIED = 6, 2
-#: Literal sets in expressions have so many members at most; larger ones are coarsened to as many hash buckets.
-LITERALS = 1 << 16
+#: Bytes of a table of words in an expression, at most.
+TABLE = 1 << 19
 
 
 def words_of(text: Column) -> Column:
@@ -35,10 +35,27 @@ def _bucket(word: Column, buckets: int) -> Column:
 
 
 def _member_test(words: DataFrame):
-    """word -> condition that holds for all of words(word) and few others; its literals are bounded by LITERALS."""
-    buckets = 1 << 40 if words.count() <= LITERALS else LITERALS
-    found = sorted(r[0] for r in words.select(_bucket(F.col("word"), buckets)).distinct().collect())  # LITERALS at most
-    return (lambda w: _bucket(w, buckets).isin(found)) if found else (lambda w: F.lit(False))
+    """word -> condition that holds for all of words(word) and few others, by a table of bits that stands in the plan.
+
+    It has 35 bits a word or more as long as that is within TABLE bytes; beyond 100,000 words more others pass, one in
+    four at a million, and all that pass are joined with the words themselves. Seven bits make a byte, so that it is text.
+    """
+    size = 1 << max(6, min(TABLE.bit_length() - 1, (5 * words.count()).bit_length()))
+    at = words.select(_bucket(F.col("word"), 7 * size).alias("b"))
+    told = at.groupBy(F.floor(F.col("b") / 4096).cast("long").alias("k")).agg(F.collect_set((F.col("b") % 4096).cast("int")).alias("own")).collect()  # 7 TABLE numbers at most
+    table = bytearray(size)
+    for k, own in told:
+        for i in own:
+            byte, bit = divmod(4096 * k + i, 7)
+            table[byte] |= 1 << bit
+    bits = F.lit(bytes(table))
+
+    def test(word: Column) -> Column:
+        bucket = _bucket(word, 7 * size)
+        byte = F.ascii(F.substring(bits, F.floor(bucket / 7).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.call_function("shiftright", byte, (bucket % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
 
 
 def bound(value: Column, use) -> Column:

@@ -280,7 +280,7 @@ def test_quality_shrinks_sparse_sites(spark):
     for i in range(400):
         good = i % 2 == 0
         words = "clear useful guide to the tools" if good else "click buy cheap pills now now"
-        rows.append((i, f"{words} {i % 7} " * 6, "en", "good.site" if good else "bad.site", 100, 7, 7, "x"))
+        rows.append((i, f"{words} {i} " * 6, "en", "good.site" if good else "bad.site", 100, 7, 7, "x"))
         labels.append((i, int(good), 0))
     rows += [(1000 + i, t, "en", s, 1, 7, 7, "x") for i, (t, s) in enumerate((("neutral words", "good.site"), ("neutral words", "bad.site"), ("neutral words", "new.site"), (None, None)))]
     docs = spark.createDataFrame(rows, DOCS)
