@@ -177,7 +177,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = _member_test(terms.select(F.col("term").alias("word")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = docs.select(F.col(id_col), F.xxhash64(text).alias("text_id"), F.split(text, _SPACE).alias("tokens"))
-    hits = tokens.select(id_col, "text_id", "tokens", places(F.col("tokens"), lambda t: wanted(_term(t))).alias("at")).where(F.size("at") > 0)
+    hits = tokens.select(id_col, "text_id", "tokens", places(F.col("tokens"), lambda t: wanted(_term(t))).alias("at"))
     hits = hits.select(id_col, "text_id", F.explode(_offsets(F.col("tokens"), F.col("at"))).alias("x")).select(id_col, "text_id", "x.token", "x.offset")
     word = F.regexp_replace("token", r"^[^\p{L}\p{N}]+", "")
     start = F.col("offset") + F.char_length("token") - F.char_length(word)
