@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,7 +15,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder once and returns the written table, so lost executors repeat nothing before it."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests and local mode only
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="gapwright-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
