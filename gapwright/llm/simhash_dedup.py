@@ -3,8 +3,8 @@
 Bits that go together share a partition; a dynamic program gives the m partitions unequal radii t_i >= -1 with
 sum(t_i) = radius - m + 1, so any two fingerprints within the radius agree within t_i on some partition i. Both the
 number of partitions and the radii are those of least estimated cost. Probes find pairs that share a key; the full
-distance verifies them. A key that many fingerprints share is not paired out: its members are linked through common
-points of balls of half the radius, which is exact for the classes and linear in the members.
+distance verifies them. A key that many fingerprints share is not paired out: its members are dealt anew by the points
+of balls of half the radius and linked there, which is exact for the classes and linear in the members.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from . import _kernels as K
 from ._workspace import materialise, release
 from .components import connected_components
 
-#: Above so many distinct fingerprints under one probe key, links go through ball points and not through pairs.
-PAIRWISE = 48
+#: Above so many rows under one probe key, links go through ball points and not through pairs.
+PAIRWISE = 512
 _U = np.uint64
 
 
@@ -169,65 +169,99 @@ def probe_batches(plan: list[tuple[list[int], int]]):
     return run
 
 
-def _star(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join exactly what steps of at most radius join, through shared points of half-radius balls."""
-    wide, narrow = _flips(list(range(64)), (radius + 1) // 2), _flips(list(range(64)), radius // 2)
-    points = (members[:, None] ^ wide[None, :]).ravel()
-    who = np.repeat(np.arange(len(members)), len(wide))
-    inner = np.tile(np.arange(len(wide)) < len(narrow), len(members))
-    order = np.lexsort((~inner, points))
-    points, who, inner = points[order], who[order], inner[order]
-    new = np.concatenate([[True], points[1:] != points[:-1]])
-    head = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    good = inner[head][run] & ~new
-    a, b = members[who[good]], members[who[head][run[good]]]
-    return a, b
-
-
-def link_batches(radius: int):
-    def links_of(keys: np.ndarray, fps: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((fps, keys))
-        keys, fps, own = keys[order], fps[order], own[order]
+def link_batches(radius: int, pairwise: int = PAIRWISE):
+    """(a, b) of links under keys that at most pairwise rows share; (member, null) for each member of the others.
+
+    Rows must come sorted by key. Only the last key's rows wait for the next batch, pairwise of them at most: a key
+    known to be crowded hands its rows on at once.
+    """
+
+    def pairs_of(keys: np.ndarray, fps: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         sizes, heads = np.diff(cut), cut[:-1]
-        for g in np.flatnonzero(sizes > PAIRWISE):
-            members = np.unique(fps[heads[g] : heads[g] + sizes[g]])
-            yield _star(members, radius)
-        small = (sizes > 1) & (sizes <= PAIRWISE)
-        heads, sizes = heads[small], sizes[small]
-        for size in np.unique(sizes):
+        for size in np.unique(sizes[sizes > 1]):
             at = heads[sizes == size]
             i, j = np.triu_indices(size, 1)
-            step = max(1, 2_000_000 // max(1, len(i)))
+            step = max(1, 2_000_000 // len(i))
             for s in range(0, len(at), step):
                 x, y = (at[s : s + step, None] + i[None, :]).ravel(), (at[s : s + step, None] + j[None, :]).ravel()
                 ok = (own[x] | own[y]) & (fps[x] != fps[y])
                 ok[ok] = np.bitwise_count(fps[x[ok]] ^ fps[y[ok]]) <= radius
                 yield fps[x[ok]], fps[y[ok]]
 
+    def crowded(keys: np.ndarray, known: int | None) -> np.ndarray:
+        _, at, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+        return (sizes > pairwise)[at] | (np.full(len(keys), False) if known is None else keys == known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy(), b.column("fp").to_numpy().view(_U), b.column("own").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if not parts:
-            return
-        keys, fps, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-        for a, b in links_of(keys, fps, own):
-            if len(a):
-                a, b = np.maximum(a, b), np.minimum(a, b)
-                pair = np.unique(np.stack([a, b]), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+        wait = (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool))
+        known = None
+        for batch in itertools.chain(batches, [None]):
+            last = batch is None
+            if not last:
+                if not batch.num_rows:
+                    continue
+                fresh = (batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(_U), batch.column("own").to_numpy(zero_copy_only=False))
+                wait = tuple(np.concatenate(x) for x in zip(wait, fresh, strict=True))
+            keys, fps, own = wait
+            if not len(keys):
+                continue
+            many = crowded(keys, known)
+            if many.any():
+                member = np.unique(fps[many]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(member), pa.nulls(len(member), pa.int64())], names=["a", "b"])
+            known = int(keys[-1]) if many[-1] else None
+            later = ~many & (keys == keys[-1]) & (not last)
+            now = ~many & ~later
+            for a, b in pairs_of(keys[now], fps[now], own[now]):
+                if len(a):
+                    a, b = np.maximum(a, b), np.minimum(a, b)
+                    pair = np.unique(np.stack([a, b]), axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+            wait = (keys[later], fps[later], own[later])
 
     return run
 
 
-def fingerprint_components(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def ball_batches(radius: int):
+    """(point, fp, inner) for all points within half the radius of each fingerprint, rounded up; inner where rounded down."""
+    wide, narrow = _flips(list(range(64)), (radius + 1) // 2), _flips(list(range(64)), radius // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 1_000_000 // len(wide))
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(_U)
+            for at in range(0, len(fps), step):
+                part = fps[at : at + step]
+                points = (part[:, None] ^ wide[None, :]).ravel()
+                inner = np.tile(np.arange(len(wide)) < len(narrow), len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(np.repeat(part, len(wide)).view(np.int64)), pa.array(inner)], names=["point", "fp", "inner"])
+
+    return run
+
+
+def star_links(crowd: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links that join exactly what steps of at most radius join among crowd(fp), each fingerprint once there.
+
+    Two within the radius have a point in common that is inner to one of them; all that have a point link to the least
+    one it is inner to. A point is had by as many fingerprints as there are flips at most, so no key is hot.
+    """
+    points = crowd.mapInArrow(ball_batches(radius), "point long, fp long, inner boolean")
+    heads = points.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null")
+    return points.join(heads.select("point", "head"), "point").where("fp <> head").select(F.greatest("fp", "head").alias("a"), F.least("fp", "head").alias("b"))
+
+
+def fingerprint_components(distinct: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
     """(node, component) over the fingerprints that have a link within radius; distinct(fp) holds each one once."""
     if not 0 <= radius <= 6:
         raise ValueError("radius must be from 0 to 6")
     n, joint = bit_statistics(distinct)
     plan = choose_plan(n, joint, radius)
-    probes = distinct.select("fp").mapInArrow(probe_batches(plan), "key long, fp long, own boolean").repartition("key")
-    return connected_components(probes.mapInArrow(link_batches(radius), "a long, b long").distinct())
+    probes = distinct.select("fp").mapInArrow(probe_batches(plan), "key long, fp long, own boolean").repartition("key").sortWithinPartitions("key")
+    found = materialise(probes.mapInArrow(link_batches(radius, pairwise), "a long, b long").distinct(), "links")
+    crowd = materialise(found.where("b is null").select(F.col("a").alias("fp")).distinct(), "crowd")
+    edges = found.where("b is not null")
+    return connected_components(edges if crowd.isEmpty() else edges.unionAll(star_links(crowd, radius)))
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
