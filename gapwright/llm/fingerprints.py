@@ -19,6 +19,8 @@ from .components import connected_components
 HEAVIEST = 8
 _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
+#: Quantiles between which ids are cut into ranges.
+SEGMENTS = 1024
 #: Above so many distinct fingerprints under one table key, links go through neighbours one bit away, not through pairs.
 PAIRWISE = 32
 
@@ -116,14 +118,41 @@ def fingerprint_classes(prints: DataFrame, id_col: str, radius: int = 2) -> Data
 
 
 def _ranged(docs: DataFrame, id_col: str, rows: int) -> Column:
-    """A range of ids of about the given number of rows, if ids are evenly spread (only the work's balance hangs on
-    that); -1 for null ids."""
-    low, high, n = docs.agg(F.min(id_col).cast("decimal(20,0)"), F.max(id_col).cast("decimal(20,0)"), F.count("*")).first()
-    if low is None:
+    """A range of ids of about the given number of rows: ids are cut at 1,024 quantiles, and between two of these into
+    equal widths, so that ids far from the others leave the others' ranges as they are. Only the work's balance hangs
+    on the quantiles. -1 for null ids."""
+    whole = F.col(id_col).cast("decimal(20,0)")
+    cuts, n = docs.agg(F.percentile_approx(id_col, [i / SEGMENTS for i in range(SEGMENTS + 1)], 10 * SEGMENTS), F.count(id_col)).first()
+    if not cuts:
         return F.lit(-1).cast("long")
-    width = max(1, -(-int(high - low + 1) * rows // max(1, n)))
-    place = (F.col(id_col).cast("decimal(20,0)") - F.lit(int(low)).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")
-    return F.coalesce(F.floor(place).cast("long"), F.lit(-1).cast("long"))
+    edges = sorted({int(c) for c in cuts})
+    per = max(1, -(-n // (SEGMENTS * rows)))  # ranges in a segment
+    groups = [edges[i : i + 32] for i in range(0, len(edges), 32)]
+
+    def at_most(values: Column) -> Column:
+        return F.greatest(F.size(F.filter(values, lambda e: e <= F.col(id_col))), F.lit(1))
+
+    outer = at_most(F.array(*(F.lit(g[0]).cast("long") for g in groups)))
+    inner = F.element_at(F.array(*(F.array(*(F.lit(e).cast("long") for e in g)) for g in groups)), outer)
+    place = (outer - 1) * 32 + at_most(inner) - 1
+    widths = [max(1, -(-(b - a) // per)) for a, b in zip(edges, [*edges[1:], edges[-1] + 1], strict=True)]
+    low = F.element_at(F.array(*(F.lit(e).cast("long") for e in edges)), (place + 1).cast("int"))
+    width = F.element_at(F.array(*(F.lit(w).cast("long") for w in widths)), (place + 1).cast("int"))
+    step = F.floor((whole - low.cast("decimal(20,0)")) / width.cast("decimal(20,0)")).cast("long")
+    return F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(place.cast("long") * per + F.least(F.greatest(step, F.lit(0)), F.lit(per - 1)))
+
+
+def _turns(tops: DataFrame, fan: int = 1500) -> DataFrame:
+    """(rng, after_rng) for each rng of tops: the next smaller one, and the greatest after the smallest.
+
+    Ranges are ordered within groups of fan neighbouring numbers, the groups among each other; one window holds a row
+    for each group, which is a row for fan times a range's documents.
+    """
+    grouped = tops.select("rng", F.floor(F.col("rng") / F.lit(fan)).cast("long").alias("grp"))
+    inside = grouped.select("*", F.lead("rng").over(Window.partitionBy("grp").orderBy(F.col("rng").desc())).alias("next_rng"))
+    order = Window.orderBy(F.col("grp").desc())
+    firsts = grouped.groupBy("grp").agg(F.max("rng").alias("top")).select("grp", F.coalesce(F.lead("top").over(order), F.first("top").over(order)).alias("after_grp"))
+    return inside.join(firsts, "grp").select("rng", F.coalesce("next_rng", "after_grp").alias("after_rng"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 1500) -> DataFrame:
@@ -138,8 +167,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     by = Window.partitionBy("rng").orderBy(F.col("id").desc(), F.col("text").desc())
     lead = base.select("*", F.lead("id").over(by).alias("next_id"), F.lead("text").over(by).alias("next_text"))
     tops = materialise(docs.select(F.col(id_col).alias("id"), rng.alias("rng")).groupBy("rng").agg(F.max("id").alias("head")), "ranges")
-    order = Window.orderBy(F.col("rng").desc())
-    turn = tops.select("rng", F.coalesce(F.lead("rng").over(order), F.first("rng").over(order)).alias("after_rng"))
+    turn = _turns(tops)
     known = base.where("rng >= 0").join(tops.select(F.col("rng").alias("top_rng"), F.col("head").alias("id")), "id").select("rng", F.col("id").alias("head"), "text")
     heads = known.unionAll(base.where("rng < 0").select("rng", F.col("id").alias("head"), "text")).groupBy("rng", "head").agg(F.max("text").alias("after_text"))
     ends = turn.join(heads.select(F.col("rng").alias("after_rng"), "head", "after_text"), "after_rng").select(F.col("rng").alias("end_rng"), "head", "after_text")
@@ -154,18 +182,18 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's. class_id is the smallest id whose fingerprint links within the radius reach. Null and empty texts have
     fingerprint 0; null ids come last in the order; repeated rows stay; other columns are not read; no rows give none.
-    Where several rows have one id, next_fp of its predecessor is the smallest of theirs.
+    Where several rows have one id, next_fp is that of the row whose text the edited text took from.
     """
     follow = with_next(docs, id_col, text_col)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
-    rows = follow.withColumn("n_chars", F.char_length("text").cast("long")).select(F.monotonically_increasing_id().alias("_row"), id_col, "n_chars", "next_id", "text", edited.alias("edited"))
+    rows = follow.withColumn("n_chars", F.char_length("text").cast("long")).select(F.monotonically_increasing_id().alias("_row"), id_col, "n_chars", "next_id", F.xxhash64("text").alias("own_hash"), F.xxhash64("next_text").alias("next_hash"), "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    both = rows.select("_row", id_col, "n_chars", "next_id", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("*", "x.kind", "x.text").drop("x")
-    keys = ["_row", id_col, "n_chars", "next_id", "edited_sha256"]
+    keys = ["_row", id_col, "n_chars", "next_id", "own_hash", "next_hash", "edited_sha256"]
+    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("*", "x.kind", "x.text").drop("x")
     prints = simhash(both, [*keys, "kind"]).groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
     prints = materialise(prints, "prints")
-    by_id = prints.groupBy(F.col(id_col).alias("next_id")).agg(F.min("fp").alias("next_fp"))
+    by_id = prints.groupBy(F.col(id_col).alias("_next"), F.col("own_hash").alias("_hash")).agg(F.min("fp").alias("next_fp"))
     classes = fingerprint_classes(prints, id_col, radius)
-    told = prints.join(by_id.withColumnRenamed("next_id", "_next"), F.col("next_id").eqNullSafe(F.col("_next")), "left").join(classes, "fp")
+    told = prints.join(by_id, F.col("next_id").eqNullSafe(F.col("_next")) & (F.col("next_hash") == F.col("_hash")), "left").join(classes, "fp")
     return told.select(id_col, "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp", "class_id")
