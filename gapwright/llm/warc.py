@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -153,30 +154,85 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n
 
 
+def parse_lines(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record, from an archive's bytes cut at each blank line (CR LF CR LF).
+
+    No more than a record is held. The header ends at a cut; Content-Length alone says how many cuts fall in the block.
+    """
+    rest: bytes | None = None
+    while True:
+        line = next(lines, None) if rest is None else rest
+        rest = None
+        if line is None:
+            return
+        while line[:2] == b"\r\n":
+            line = line[2:]
+        if not line:
+            continue
+        if line[:5] != b"WARC/":
+            raise ValueError("no record where one should start")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in line.decode().split("\r\n")[1:])}
+        n, parts, held = int(headers["content-length"]), [], -len(_END)
+        while held < n:
+            part = next(lines, None)
+            if part is None:
+                if n == 0:
+                    break
+                raise ValueError("the last record is cut short")
+            parts.append(part)
+            held += len(_END) + len(part)
+        block = _END.join(parts)
+        yield headers, block[:n]
+        rest = block[n:] or None
+
+
 _SEGMENT = pa.schema([(x, pa.string()) for x in ("origin", "type", "refers_to", "digest", "uri")] + [("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
 _SEGMENT_DDL = "origin string, type string, refers_to string, digest string, uri string, number long, total long, block binary"
 
 
+def _segment_batches(found: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SEGMENT, strict=True)], schema=_SEGMENT)
+
+    rows, held = [], 0
+    for h, block in found:
+        number = h.get("warc-segment-number")
+        total = h.get("warc-segment-total-length")
+        own = h.get("warc-segment-origin-id", h.get("warc-record-id", ""))
+        rows.append((own.strip("<>"), h.get("warc-type"), (h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None), h.get("warc-payload-digest"), h.get("warc-target-uri"), int(number) if number else None, int(total) if total else None, block))
+        held += len(block)
+        if held > 1 << 22:
+            yield batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield batch(rows)
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of the files below path; number is null for records that aren't segments. A file is read whole."""
+    """One row a record of the files below path; number is null for records that aren't segments.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Files named .gz, those of write_warc among them, are read as a stream by Spark's text source, which cuts them at
+    blank lines and does not split them: a task holds a record, not a file. Other files are read whole (2 GB at most).
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            for name, value in zip(batch.column("name"), batch.column("value"), strict=True):
+                yield name.as_py(), value.as_py()
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(lines(batches), key=lambda x: x[0]):
+            yield from _segment_batches(parse_lines(value for _, value in rows))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows, held = [], 0
-                for h, block in parse(_inflate(content.as_py())):
-                    number = h.get("warc-segment-number")
-                    total = h.get("warc-segment-total-length")
-                    own = h.get("warc-segment-origin-id", h.get("warc-record-id", ""))
-                    rows.append((own.strip("<>"), h.get("warc-type"), (h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None), h.get("warc-payload-digest"), h.get("warc-target-uri"), int(number) if number else None, int(total) if total else None, block))
-                    held += len(block)
-                    if held > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SEGMENT, strict=True)], schema=_SEGMENT)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SEGMENT, strict=True)], schema=_SEGMENT)
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, _SEGMENT_DDL)
+                yield from _segment_batches(parse(_inflate(content.as_py())))
+
+    text = spark.read.option("lineSep", _END.decode()).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+    streamed = text.select(F.col("_metadata.file_path").alias("name"), F.col("value").cast("binary").alias("value")).mapInArrow(stream, _SEGMENT_DDL)
+    others = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz}").load(path)
+    return streamed.unionAll(others.select("content").mapInArrow(whole, _SEGMENT_DDL))
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
@@ -189,7 +245,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
     single = segments.where("number is null").select("origin", "type", "refers_to", "digest", "uri", "block", F.lit(None).cast("string").alias("problem"))
     heads = [F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("type", "refers_to", "digest", "uri")]
     groups = segments.where("number is not null").groupBy("origin").agg(*heads, F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"))
-    groups = groups.withColumn("block", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"])))
+    groups = groups.withColumn("block", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["block"])), "")))
     in_order = F.transform("parts", lambda x: x["number"]) == F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: i.cast("long"))
     problem = F.when(~in_order, "segments are missing or repeated").when(F.col("total").isNull(), "the last segment is missing").when(F.octet_length("block") != F.col("total"), "the total length differs")
     groups = groups.withColumn("problem", problem).withColumn("block", F.when(F.col("problem").isNull(), F.col("block")))
