@@ -1,7 +1,7 @@
 """Documents that hold benchmark items, by SimHash windows of the items' sizes, DataFrame operations only (operator 5).
 
-Every item has a few anchors: the rarest long words of its parts, by counts over all documents. Where a document has an
-anchor, the window of the item's size that is aligned on it is fingerprinted. Windows and items meet in a multi-index:
+Every item has a few anchors: the rarest long words of its parts, by counts over all documents. Windows of the item's size
+that hold an anchor at any place, and enough of its other words, are fingerprinted. Windows and items meet in a multi-index:
 RADIUS + 1 blocks of the fingerprint's bits, of which two fingerprints within RADIUS share one at least. Candidates
 within the radius are verified by the weighted Jaccard similarity of their five-word shingles, weights being counts.
 """
@@ -120,27 +120,31 @@ def _by(*keys: str, order: list):
 
 
 def windows(docs_words: DataFrame, anchored: DataFrame, id_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, item_id, start, window): the window of an item's size at each alignment of an anchor, once an alignment.
+    """(id, item_id, start, window): every window of an item's size that lacks few enough of its words, once.
 
     At the similarity s at most (1 - s) of the item's shingles are missing, and each can take one word with it at most, so
-    windows that lack more of its words than that cannot reach s and end here; none is lost by it.
+    windows that lack more of its words than that cannot reach s and end here. The others hold an anchor, wherever in them
+    it stands. So windows around each anchor are looked at, if the words around it do not lack too many themselves, and a
+    window belongs to the first anchor in it. None that could reach s is lost.
 
     start counts words from 0; windows end at the ends of the text. A hit carries the words around it, twice the longest
     item at most, so that nothing is joined back to the documents.
     """
     longest = anchored.agg(F.max("n")).first()[0] or SHINGLE
-    single = anchored.select("item_id", "n", "anchors", F.array_distinct("words").alias("item_words"), F.posexplode("anchors").alias("k", "a")).select("item_id", "n", "anchors", "item_words", "k", "a.off", "a.word")
-    single = materialise(single, "anchors")
+    single = anchored.select("item_id", "n", F.array_distinct("words").alias("item_words"), F.array_distinct(F.transform("anchors", lambda a: a["word"])).alias("marks"))
+    single = materialise(single.select("*", F.explode("marks").alias("word")), "anchors")
     wanted = _member_test(single.select("word").distinct())
     hits = docs_words.select(id_col, "words", F.explode(places(F.col("words"), wanted)).alias("pos"))
     left = F.greatest(F.col("pos") - longest + 1, F.lit(0))
     hits = hits.select(id_col, "pos", left.alias("left"), F.get("words", F.col("pos")).alias("word"), F.slice("words", left + 1, F.lit(2 * longest)).alias("around"))
-    met = hits.join(single, "word").withColumn("start", F.greatest(F.col("pos") - F.col("off"), F.lit(0))).withColumn("skip", F.greatest(F.col("off") - F.col("pos"), F.lit(0)))
-    met = met.withColumn("window", F.slice("around", F.col("start") - F.col("left") + 1, F.col("n") - F.col("skip")))
     lacking = F.floor(F.lit(1 - similarity + 1e-9) * (F.col("n") - SHINGLE + 1))
-    met = met.where(F.size(F.array_except("item_words", "window")) <= lacking)
-    earlier = F.exists(F.slice("anchors", F.lit(1), F.col("k")), lambda x: F.get("window", x["off"] - F.col("skip")) == x["word"])
-    return met.where(~F.coalesce(earlier, F.lit(False))).select(id_col, "item_id", (F.col("pos") - F.col("off")).alias("start"), "window")
+    met = hits.join(single, "word").withColumn("at", F.least(F.col("pos"), F.col("n") - 1))  # place of the anchor in own
+    met = met.withColumn("own", F.slice("around", F.col("pos") - F.col("at") - F.col("left") + 1, F.col("at") + F.col("n"))).drop("around")
+    met = met.where(F.size(F.array_except("item_words", "own")) <= lacking)
+    before = F.coalesce(F.array_max(places(F.slice("own", F.lit(1), F.col("at")), lambda w: F.array_contains("marks", w))), F.lit(-(1 << 30)))
+    met = met.select(id_col, "item_id", "n", "item_words", "own", (F.col("pos") - F.col("at")).alias("base"), F.explode(F.sequence(F.greatest(before + 1, F.col("at") - F.col("n") + 1), F.col("at"))).alias("s"))
+    met = met.withColumn("window", F.slice("own", F.greatest(F.col("s"), F.lit(0)) + 1, F.col("n") + F.least(F.col("s"), F.lit(0))))
+    return met.where(F.size(F.array_except("item_words", "window")) <= lacking).select(id_col, "item_id", (F.col("base") + F.col("s")).alias("start"), "window")
 
 
 def _blocks(fp: Column) -> Column:

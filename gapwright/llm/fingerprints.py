@@ -117,14 +117,18 @@ def fingerprint_classes(prints: DataFrame, id_col: str, radius: int = 2) -> Data
     return labelled.join(least, "component").select("fp", "class_id")
 
 
-def _ranged(docs: DataFrame, id_col: str, rows: int) -> Column:
+def _ranged(docs: DataFrame, id_col: str, rows: int, text_col: str = "text") -> Column:
     """A range of ids of about the given number of rows: ids are cut at 1,024 quantiles, and between two of these into
     equal widths, so that ids far from the others leave the others' ranges as they are. Only the work's balance hangs
-    on the quantiles. -1 for null ids."""
+    on the quantiles. Null ids are dealt by their texts to ranges from -1 down."""
     whole = F.col(id_col).cast("decimal(20,0)")
-    cuts, n = docs.agg(F.percentile_approx(id_col, [i / SEGMENTS for i in range(SEGMENTS + 1)], 10 * SEGMENTS), F.count(id_col)).first()
+    cuts, n, every = docs.agg(F.percentile_approx(id_col, [i / SEGMENTS for i in range(SEGMENTS + 1)], 10 * SEGMENTS), F.count(id_col), F.count("*")).first()
+    nulls = -(-(every - n) // rows)  # ranges of null ids
+    unknown = F.lit(-1).cast("long")
+    if nulls > 1:
+        unknown = -1 - F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(nulls))
     if not cuts:
-        return F.lit(-1).cast("long")
+        return unknown
     edges = sorted({int(c) for c in cuts})
     per = max(1, -(-n // (SEGMENTS * rows)))  # ranges in a segment
     groups = [edges[i : i + 32] for i in range(0, len(edges), 32)]
@@ -139,7 +143,7 @@ def _ranged(docs: DataFrame, id_col: str, rows: int) -> Column:
     low = F.element_at(F.array(*(F.lit(e).cast("long") for e in edges)), (place + 1).cast("int"))
     width = F.element_at(F.array(*(F.lit(w).cast("long") for w in widths)), (place + 1).cast("int"))
     step = F.floor((whole - low.cast("decimal(20,0)")) / width.cast("decimal(20,0)")).cast("long")
-    return F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(place.cast("long") * per + F.least(F.greatest(step, F.lit(0)), F.lit(per - 1)))
+    return F.when(F.col(id_col).isNull(), unknown).otherwise(place.cast("long") * per + F.least(F.greatest(step, F.lit(0)), F.lit(per - 1)))
 
 
 def _turns(tops: DataFrame, fan: int = 1500) -> DataFrame:
@@ -159,10 +163,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """(id, text, next_id, next_text): each document's successor by descending id; the first follows the last.
 
     One shuffle deals documents to ranges of ids; a range's last document takes the head of the next range that has
-    any, from a table of one row a range. Rows of one id follow one another by descending text; null ids come last.
-    A document alone follows itself.
+    any, from a table of one row a range. Rows of one id follow one another by descending text; null ids come last,
+    where they are many by a hash of the text first. A document alone follows itself.
     """
-    rng = _ranged(docs, id_col, rows)
+    rng = _ranged(docs, id_col, rows, text_col)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rng.alias("rng"))
     by = Window.partitionBy("rng").orderBy(F.col("id").desc(), F.col("text").desc())
     lead = base.select("*", F.lead("id").over(by).alias("next_id"), F.lead("text").over(by).alias("next_text"))

@@ -24,6 +24,8 @@ BUCKETS, ALPHA = 1 << 16, 0.5
 EFFECTIVE = 60
 #: Pseudo-counts of the parent's distribution: for a declared language or suffix, for a host and for a domain.
 K_SIGN, K_HOST, K_DOMAIN = 5.0, 10.0, 20.0
+#: Languages of a model at most, as every task holds the whole model.
+MOST_LANGUAGES = 500
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,8 @@ def _spread(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts the trigrams of all docs by language. Null languages and texts add nothing; no docs give no languages.
 
-    Each task sums up its own counts, so what is shuffled is bounded by languages times buckets.
+    Each task sums up its own counts, so what is shuffled is bounded by languages times buckets. More than
+    MOST_LANGUAGES languages are refused before anything comes to the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,16 +67,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
                     continue
                 bucket = _buckets(part)
                 first, last = _spread(offsets[i : j + 1] - offsets[i])
+                own: dict[str, list[np.ndarray]] = {}
                 for k, name in enumerate(names[i:j]):
                     if last[k] > first[k]:
-                        sums.setdefault(name, np.zeros(BUCKETS, np.int64))
-                        sums[name] += np.bincount(bucket[first[k] : last[k]], minlength=BUCKETS)
+                        own.setdefault(name, []).append(bucket[first[k] : last[k]])
+                for name, parts in own.items():
+                    sums.setdefault(name, np.zeros(BUCKETS, np.int64))
+                    sums[name] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
         for name, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
     source = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.lower(text_col).alias("_text"))
-    rows = source.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = materialise(source.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    if table.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} declared languages")
+    rows = table.toPandas()
     languages = tuple(sorted(rows["lang"].unique()))
     counts = np.full((len(languages), BUCKETS), ALPHA)
     np.add.at(counts, (np.searchsorted(np.array(languages, dtype=object), rows["lang"].to_numpy(dtype=object)), rows["bucket"].to_numpy(np.int64)), rows["n"].to_numpy(np.float64))

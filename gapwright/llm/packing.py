@@ -139,19 +139,24 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     are not read. An empty table gives no rows. Sequence ids are unique, not gapless. The pieces are written to the
     shared folder once; where they go follows from that table alone, so a repeated task changes nothing.
     """
+    if not 1 <= capacity < 1 << 20:
+        raise ValueError("capacity must be from 1 to 2^20 - 1")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, k long, worker long, ord long" + ", ids array<int>" * keep_ids
     pieces = materialise(docs.select(id_col, text_col).mapInArrow(piece_batches(tokenizer_path, id_col, text_col, capacity, keep_ids), schema), "pieces")
     columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
     slim = [c for c in pieces.columns if c != "ids"]
-    whole = pieces.where("k = 1").withColumn("sequence_id", _sequence(0, F.lit(1), F.col("worker"), F.col("ord"))).withColumn("offset", F.lit(0).cast("long"))
+    whole = pieces.where("k = 1").withColumn("sequence_id", _sequence(capacity, 0, F.lit(1), F.col("worker"), F.col("ord"))).withColumn("offset", F.lit(0).cast("long"))
     out, left = [whole.select("worker", "ord", "sequence_id", "offset")], pieces.where("k > 1").select(*slim).withColumn("grp", F.col("worker"))
-    workers, level = (pieces.agg(F.max("worker")).first()[0] or 0) + 1, 0
+    last, most = pieces.agg(F.max("worker"), F.max("ord")).first()
+    workers, level = (last or 0) + 1, 0
+    if workers > 1 << (36 - capacity.bit_length()) or (most or 0) >= 1 << 24:
+        raise ValueError("a sequence id has no room for so many tasks, or so many pieces of a task")
     while True:
         by = Window.partitionBy("k", "grp")
         ranked = left.withColumn("bin", F.expr("(row_number() over (partition by k, grp order by worker, ord) - 1) div k")).withColumn("full", F.col("bin") < F.expr("(count(*) over (partition by k, grp)) div k"))
         in_bin = by.partitionBy("k", "grp", "bin").orderBy("worker", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        done = ranked.where("full").withColumn("offset", F.sum("length").over(in_bin) - F.col("length")).withColumn("sequence_id", _sequence(level, F.col("k"), F.col("grp"), F.col("bin")))
+        done = ranked.where("full").withColumn("offset", F.sum("length").over(in_bin) - F.col("length")).withColumn("sequence_id", _sequence(capacity, level, F.col("k"), F.col("grp"), F.col("bin")))
         out.append(done.select("worker", "ord", "sequence_id", "offset"))
         left = ranked.where(~F.col("full")).drop("bin", "full")
         if workers == 1:
@@ -165,9 +170,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     return pieces.drop("k").join(placed, ["worker", "ord"]).select(*columns)
 
 
-def _sequence(level: int, k, group, number):
-    """level (3 bits) | class (12) | worker group (24) | bin (24)."""
-    return F.lit(level).cast("long") * (1 << 60) + k * (1 << 48) + group * (1 << 24) + number
+def _sequence(capacity: int, level: int, k, group, number):
+    """level (3 bits) | class (as many as the capacity has) | worker group (36 less these) | bin (24)."""
+    return F.lit(level).cast("long") * (1 << 60) + k * (1 << (60 - capacity.bit_length())) + group * (1 << 24) + number
 
 
 def assemble(pieces: DataFrame) -> DataFrame:

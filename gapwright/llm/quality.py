@@ -200,13 +200,13 @@ def _posterior(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(log_odds, F.lit(LIMIT)), F.lit(-LIMIT))))
 
 
-def credibility(groups: DataFrame, parent: DataFrame, by: str | None, t: str) -> float:
+def credibility(groups: DataFrame, parent: DataFrame | float, by: str | None, t: str) -> float:
     """Pseudo-count of the parent's mean: the variance within groups over the variance between them (Buhlmann).
 
-    groups(n, s, q) are counts, sums and sums of squares of a posterior; parent holds its mean m (by the column by).
+    groups(n, s, q) are counts, sums and sums of squares of a posterior; parent holds its mean m by the column by, or is the one mean of all.
     """
     n, s, q = F.col("n"), F.col(f"s_{t}"), F.col(f"q_{t}")
-    joined = groups.join(parent, by) if by else groups.crossJoin(F.broadcast(parent))  # parent is one row then
+    joined = groups.join(parent, by) if by else groups.withColumn("m", F.lit(parent))
     dev = F.pow(s / n - F.col("m"), 2) * n
     within, between, total, groups_n, squares = joined.agg(F.sum(q - s * s / n), F.sum(dev), F.sum(n), F.count("*"), F.sum(n.cast("double") * n)).first()
     if not groups_n or total <= groups_n:
@@ -227,11 +227,10 @@ def site_posteriors(evidence: DataFrame, model: Model, host: str, path: str) ->
     out = paths
     shrunk = hosts.select(host)
     for t in TARGETS:
-        world = hosts.agg((F.sum(f"s_{t}") / F.sum("n")).alias("m"))
-        mean = world.first()[0]
+        mean = hosts.agg(F.sum(f"s_{t}") / F.sum("n")).first()[0]
         if mean is None:
             return paths.select(host, path, F.col("n").alias("n_path"), *(F.lit(0.0).alias(f"{x}_{t}") for t in TARGETS for x in ("sum", "prior", "count")))
-        k_host = credibility(hosts, world, None, t)
+        k_host = credibility(hosts, mean, None, t)
         level = hosts.select(host, ((F.col(f"s_{t}") + F.lit(k_host * mean)) / (F.col("n") + F.lit(k_host))).alias("m"))
         k_path = credibility(paths, level, host, t)
         shrunk = shrunk.join(level.withColumnRenamed("m", f"prior_{t}"), host)

@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gapwright.llm import fingerprints, simhash_dedup, warc
+from gapwright.llm import fingerprints, language, packing, simhash_dedup, warc
 from gapwright.llm._workspace import new_path
+from gapwright.llm.queries_text import tokenizer_path
 
 DOCS = "doc_id long, text string"
 
@@ -121,3 +122,33 @@ def test_empty_tables_and_names_that_clash(spark):
         warc.write_warc(table, path)
         found = warc.read_warc(spark, path).collect()
         assert len(found) == n and all(r.problem is None for r in found)
+
+
+def test_many_null_ids_follow_one_another_in_ranges(spark):
+    rows = [(None, f"text {n}") for n in range(60)] + [(None, None), (3, "c"), (5, "e")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert docs.groupBy(fingerprints._ranged(docs, "doc_id", 2)).count().count() > 10
+    after = {(r.doc_id, r.text): (r.next_id, r.next_text) for r in fingerprints.with_next(docs, rows=2).collect()}
+    assert len(after) == 63 and after[5, "e"] == (3, "c") and after[3, "c"][0] is None
+    at, seen = (5, "e"), []
+    while at not in seen:
+        seen.append(at)
+        at = after[at]
+    assert at == (5, "e") and len(seen) == 63
+    alone = spark.createDataFrame(rows[:9], DOCS)
+    assert {r.next_text for r in fingerprints.with_next(alone, rows=2).collect()} == {t for _, t in rows[:9]}
+
+
+def test_sequences_of_large_capacities_do_not_mix(spark):
+    """Classes of very short pieces need more bits of the sequence id than those of 2,048 tokens."""
+    docs = spark.createDataFrame([(i, "" if i % 2 else "some words of a text " * (i % 900)) for i in range(20000)], DOCS).repartition(3)
+    used = {}
+    for r in packing.pack(docs, tokenizer_path(), capacity=8192).select("sequence_id", "offset", "length").collect():
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(k for _, k in x) <= 8192 and all(o + k == p for (o, k), (p, _) in zip(sorted(x), sorted(x)[1:], strict=False)) for x in used.values())
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(f"some text {i}", f"l{i}") for i in range(language.MOST_LANGUAGES + 1)], "text string, lang string")
+    with pytest.raises(ValueError):
+        language.fit(docs)

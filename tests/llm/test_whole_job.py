@@ -1,5 +1,8 @@
 """Cases that earlier versions of the operators left out."""
 
+import random
+from collections import Counter
+
 from gapwright.llm import decontamination, line_dedup, privacy
 from gapwright.operators import graph
 
@@ -31,8 +34,8 @@ def test_benchmark_copies_far_in_bits_are_found(spark):
     """A copy at similarity 0.8 whose fingerprint differs from the item's in 28 bits."""
     kept = "qu ztl rkhcsj yfpadzflp jqqb eje dtr olpb cn nwpw bzd npygxktbv fluo opjz tbz bbfn sk klg xcmzxbohh ula"
     items = spark.createDataFrame([(1, f"bgxgipnbl znijrism {kept}")], "item_id long, text string")
-    got = decontamination.contaminated(docs_of(spark, [(1, f"if ubooqvytq {kept}")]), items).collect()
-    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 1, 0, 0.8)]
+    got = decontamination.contaminated(docs_of(spark, [(1, f"if ubooqvytq {kept}"), (2, f"if ubooqvytq {kept} rr ss")]), items).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.similarity) for r in got} == {(1, 1, 2, 16 / 18), (2, 1, 0, 0.8)}  # the best window of 1 ends with the text
 
 
 def test_long_benchmark_items_have_anchors_enough(spark):
@@ -72,3 +75,31 @@ def test_terms_disclose_from_the_first_text_and_at_any_distance(spark):
     docs = docs_of(spark, rows)
     found = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.term] for r in privacy.personal_spans(docs).collect() if r.term}
     assert found == {0: ["Qumquat"], 1: ["Vexler"], 2: ["Vexler"]}
+
+
+def test_benchmark_copies_with_moved_parts_equal_brute_force(spark):
+    """Halves changed over, parts moved, words put in at the front: windows that no single word is aligned in."""
+    rnd = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "rt", "lm", "st", "x")]
+    items = [(i, [rnd.choice(words) for _ in range(n)]) for i, n in enumerate((30, 48, 60, 130))]
+    texts = []
+    for d in range(48):
+        w = items[d % 4][1]
+        cut, gap = rnd.randrange(3, len(w) - 3), [rnd.choice(words) for _ in range(d % 3)]
+        lead = [rnd.choice(words) for _ in range(d % 5 * 7)]
+        texts.append((d, lead + w[cut:] + gap + w[:cut] + [rnd.choice(words) for _ in range(d % 4 * 9)]))
+
+    def shingles(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    expected = {}
+    for d, w in texts:
+        for i, item in items:
+            own, n = shingles(item), len(item)
+            for k in range(1 - n, len(w)):
+                s = shingles(w[max(k, 0) : k + n])
+                if 5 * sum((s & own).values()) >= 4 * sum((s | own).values()):
+                    expected[d, i] = max(expected.get((d, i), 0), sum((s & own).values()) / sum((s | own).values()))
+    got = decontamination.contaminated(docs_of(spark, [(d, " ".join(w)) for d, w in texts]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    assert found.keys() == expected.keys() and len(found) > 20 and all(abs(found[k] - v) < 1e-9 for k, v in expected.items())
