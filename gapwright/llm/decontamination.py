@@ -122,10 +122,10 @@ def _by(*keys: str, order: list):
 def windows(docs_words: DataFrame, anchored: DataFrame, id_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, start, window): every window of an item's size that lacks few enough of its words, once.
 
-    At the similarity s at most (1 - s) of the item's shingles are missing, and each can take one word with it at most, so
-    windows that lack more of its words than that cannot reach s and end here. The others hold an anchor, wherever in them
-    it stands. So windows around each anchor are looked at, if the words around it do not lack too many themselves, and a
-    window belongs to the first anchor in it. None that could reach s is lost.
+    Of m shingles of the item and k of a window c must be common for the similarity s = c / (m + k - c), so m - c at most
+    are missing, and each can take one word with it at most: windows that lack more words than that end here. The others
+    hold an anchor, wherever in them it stands. So windows around each anchor are looked at, if the words around it do not
+    lack too many themselves, and a window belongs to the first anchor in it. None that could reach s is lost.
 
     start counts words from 0; windows end at the ends of the text. A hit carries the words around it, twice the longest
     item at most, so that nothing is joined back to the documents.
@@ -137,22 +137,37 @@ def windows(docs_words: DataFrame, anchored: DataFrame, id_col: str, similarity:
     hits = docs_words.select(id_col, "words", F.explode(places(F.col("words"), wanted)).alias("pos"))
     left = F.greatest(F.col("pos") - longest + 1, F.lit(0))
     hits = hits.select(id_col, "pos", left.alias("left"), F.get("words", F.col("pos")).alias("word"), F.slice("words", left + 1, F.lit(2 * longest)).alias("around"))
-    lacking = F.floor(F.lit(1 - similarity + 1e-9) * (F.col("n") - SHINGLE + 1))
+
+    def lacking(words: Column) -> Column:
+        m, k = F.col("n") - SHINGLE + 1, F.size(words) - SHINGLE + 1
+        return F.floor(m - (m + F.least(m, k)) * F.lit(similarity / (1 + similarity)) + F.lit(1e-6))
+
     met = hits.join(single, "word").withColumn("at", F.least(F.col("pos"), F.col("n") - 1))  # place of the anchor in own
     met = met.withColumn("own", F.slice("around", F.col("pos") - F.col("at") - F.col("left") + 1, F.col("at") + F.col("n"))).drop("around")
-    met = met.where(F.size(F.array_except("item_words", "own")) <= lacking)
+    # Near an end of the text windows may be shorter, and lack more then
+    clipped = F.size("own") < 2 * F.col("n") - 1
+    most = F.when(clipped, F.floor(F.lit(1 - similarity + 1e-6) * (F.col("n") - SHINGLE + 1))).otherwise(lacking(F.col("own")))
+    met = met.where(F.size(F.array_except("item_words", "own")) <= most)
     before = F.coalesce(F.array_max(places(F.slice("own", F.lit(1), F.col("at")), lambda w: F.array_contains("marks", w))), F.lit(-(1 << 30)))
     met = met.select(id_col, "item_id", "n", "item_words", "own", (F.col("pos") - F.col("at")).alias("base"), F.explode(F.sequence(F.greatest(before + 1, F.col("at") - F.col("n") + 1), F.col("at"))).alias("s"))
     met = met.withColumn("window", F.slice("own", F.greatest(F.col("s"), F.lit(0)) + 1, F.col("n") + F.least(F.col("s"), F.lit(0))))
-    return met.where(F.size(F.array_except("item_words", "window")) <= lacking).select(id_col, "item_id", (F.col("base") + F.col("s")).alias("start"), "window")
+    return met.where(F.size(F.array_except("item_words", "window")) <= lacking(F.col("window"))).select(id_col, "item_id", (F.col("base") + F.col("s")).alias("start"), "window")
+
+
+_EDGES = [round(64 * i / (RADIUS + 1)) for i in range(RADIUS + 2)]
 
 
 def _blocks(fp: Column) -> Column:
-    edges = [round(64 * i / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:], strict=False))]
     return F.explode(F.array(*parts))
 
 
+def _first_shared(differing: Column) -> Column:
+    """The first block without differing bits, so that a pair that shares several blocks is taken once."""
+    shared = [F.when(F.shiftrightunsigned(differing, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:], strict=False))]
+    return F.coalesce(*shared)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, start, n_words, similarity): for each document and item the best window that reaches the similarity.
 
@@ -165,17 +180,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = windows(docs_words, anchored, id_col, similarity).select(id_col, "item_id", "start", F.array_join("window", " ").alias("text"))
     prints = fingerprints.simhash(texts.withColumn("own", F.col("text")), [id_col, "item_id", "start", "own"])
     prints = prints.withColumnRenamed("own", "text")
-    item_texts = items.select("item_id", F.array_join("words", " ").alias("item"))
-    item_prints = fingerprints.simhash(item_texts.withColumn("text", F.col("item")), ["item_id", "item"]).withColumnRenamed("fp", "item_fp")
-    item_blocks = materialise(item_prints.select("*", _blocks(F.col("item_fp")).alias("b")).select("item_id", "item", "item_fp", "b.*"), "item-blocks")
+    item_prints = fingerprints.simhash(items.select("item_id", F.array_join("words", " ").alias("text")), ["item_id", "text"]).withColumnRenamed("fp", "item_fp")
+    item_blocks = materialise(item_prints.select("*", _blocks(F.col("item_fp")).alias("b")).select("item_id", "item_fp", "b.*"), "item-blocks")
     probes = prints.select("*", _blocks(F.col("fp")).alias("b")).select(id_col, "item_id", "start", "text", "fp", "b.*")
-    met = probes.join(item_blocks, ["item_id", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    met = met.select(id_col, "item_id", "start", "text", "item").distinct()
-    a, b = (numbered(shingles(F.split(c, " "))) for c in ("text", "item"))
-    sized = met.select(id_col, "item_id", "start", F.size(F.split("text", " ")).cast("long").alias("n_words"), a.alias("a"), b.alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    scored = sized.withColumn("similarity", F.coalesce(common / F.nullif(F.size("a") + F.size("b") - common, F.lit(0)), F.lit(0.0)))
-    best = scored.where(F.col("similarity") >= similarity).groupBy(id_col, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("m"))
+    differing = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    met = probes.join(item_blocks, ["item_id", "block", "bits"]).where((F.bit_count(differing) <= RADIUS) & (F.col("block") == _first_shared(differing)))
+    met = met.select(id_col, "item_id", "start", "text").join(items.select("item_id", numbered(shingles(F.col("words"))).alias("own")), "item_id")
+
+    def likeness(a: Column) -> Column:
+        return bound(F.size(F.array_intersect(a, F.col("own"))), lambda c: F.coalesce(c / F.nullif(F.size(a) + F.size("own") - c, F.lit(0)), F.lit(0.0)))
+
+    scored = met.select(id_col, "item_id", "start", F.size(F.split("text", " ")).cast("long").alias("n_words"), bound(numbered(shingles(F.split("text", " "))), likeness).alias("similarity"))
+    best = scored.groupBy(id_col, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("m")).where(F.col("m.similarity") >= similarity)
     return best.select(id_col, "item_id", F.greatest(-F.col("m.back"), F.lit(0)).cast("long").alias("start"), F.col("m.n_words").alias("n_words"), F.col("m.similarity").alias("similarity"))
 
 
