@@ -170,3 +170,29 @@ def test_shell_runs_a_batch(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert out.count("|ok") == 2 and "unknown source" in out and (tmp_path / "log").exists()
     assert reports.batch_rows(spark, []).count() == 0
+
+
+def test_neighbour_sums_in_parts_equal_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, src, dst = 300, rng.integers(0, 300, 2000), np.r_[rng.integers(0, 300, 1500), np.zeros(500, int)]
+    x, a = rng.normal(size=(n, 4)), np.zeros((n, n))
+    np.add.at(a, (np.r_[dst, np.arange(n)], np.r_[src, np.arange(n)]), 1.0)
+    degree = np.bincount(np.r_[src, np.arange(n)], minlength=n)
+    want = (a / np.sqrt(degree[:, None] * degree[None, :])) @ x
+    for part in (4, 64, 100_000):  # node 0 has over 64 x 4 neighbours
+        monkeypatch.setattr(gcn, "PART", part)
+        assert np.allclose(gcn._matrix(n, src, dst)(x), want)
+
+
+def test_training_holds_no_object_for_each_value(spark, monkeypatch):
+    """The driver's Python took some 100 bytes for each feature and edge end before, and one row of each edge in one array."""
+    import tracemalloc
+
+    n = 20_000
+    nodes = spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i)).alias("features"), (F.col("id") % 2).cast("int").alias("label"), F.lit("train").alias("split"))
+    edges = graph.symmetric(spark.range(n).select(F.col("id").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (F.col("id") * i + 1) % n)).alias("dst")))
+    tracemalloc.start()
+    gcn.fit(nodes, edges, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9 * n * 64 * 8
