@@ -132,3 +132,16 @@ def test_an_asking_row_tells_its_most_similar_once(spark):
     for r in imputers.similar_groups(packed, k, block=40).collect():
         found.setdefault(r.ask, []).append(r.near)
     assert {g: sorted(near) for g, near in found.items()} == {i: sorted(np.lexsort((np.arange(n), -np.round(v @ v[i], 9)))[:k].tolist()) for i in range(0, n, 3)}
+
+
+def test_some_rows_ask_among_all(spark, monkeypatch):
+    """All rows were searched and the links of some of them kept."""
+    rng = np.random.default_rng(9)
+    x, mask = np.round(rng.normal(0, 1, (200, 3)), 1), rng.random((200, 3)) < 0.2
+    nodes = frame(spark, range(200), x, mask).withColumnRenamed("x", "features")
+    links = lambda df: {tuple(r) for r in df.collect()}
+    want = links(graph.nearest(nodes, "id", 5, block=16).where("src < 7"))
+    searched, search = [], neighbours.search
+    monkeypatch.setattr(neighbours, "search", lambda asks, *a, **b: (searched.append(asks.count()), search(asks, *a, **b))[1])
+    assert links(graph.nearest(nodes, "id", 5, block=16, asked="id < 7")) == want and len(want) == 35
+    assert searched[0] <= 7
