@@ -196,3 +196,17 @@ def test_training_holds_no_object_for_each_value(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 9 * n * 64 * 8
+
+
+def test_training_keeps_no_gradient_of_the_step_before(spark):
+    """Seven arrays of a value for each node and feature were held at once from the second epoch on."""
+    import tracemalloc
+
+    n = 20_000
+    nodes = spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i)).alias("features"), (F.col("id") % 2).cast("int").alias("label"), F.lit("train").alias("split"))
+    edges = spark.range(n).select(F.col("id").alias("src"), F.explode(F.array((F.col("id") + 1) % n, (F.col("id") + n - 1) % n)).alias("dst"))
+    tracemalloc.start()
+    gcn.fit(nodes, edges, epochs=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6.5 * n * 64 * 8
