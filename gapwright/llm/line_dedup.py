@@ -12,6 +12,9 @@ Prefixes travel as packed columns, a blob for each task and part of the words, a
 
 Where many sets under one word may match, each meets its closest few first. Only those that these do not match meet all
 others, in a second pass over the words in question.
+
+To verify, texts are read again and only the lines in question travel: a filter of bits, which grows with their number, lets
+them pass and few others.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ MOST_ROWS = (1 << (64 - WORD_BITS)) - 2
 FLUSH, PARTS = 1 << 20, 512
 #: Sets of so many words or more have sketches of 128 bits that count, others of 64.
 WIDE = 64
+#: Bits of the filter for a line in question, of one of its blocks, and of the whole at most (32 MB: beyond, more lines pass).
+FILTER_BITS, BLOCK_BITS, MOST_FILTER = 8, 1 << 12, 1 << 28
 _U = np.uint64
 _CODEC = "zstd"
 
@@ -195,7 +200,7 @@ _KEYS, _CELLS, _GONE, _OPEN = range(4)
 
 def _schema(kind: int, id_type: pa.DataType) -> pa.Schema:
     own = [("id", id_type), ("line", pa.int64())]
-    return pa.schema({_KEYS: [("sid", pa.uint64()), *own], _CELLS: [("cell", pa.uint32()), *own, ("n", pa.int32()), ("pos", pa.int32()), ("low", pa.uint64()), ("high", pa.uint64()), ("tag", pa.uint16())], _GONE: own, _OPEN: [("cell", pa.uint32()), *own]}[kind])
+    return pa.schema({_KEYS: [("sid", pa.uint64()), *own], _CELLS: [("cell", pa.uint32()), *own, ("n", pa.int32()), ("pos", pa.int32()), ("low", pa.uint64()), ("high", pa.uint64()), ("tag", pa.uint32()), ("mark", pa.uint8())], _GONE: own, _OPEN: [("cell", pa.uint32()), *own]}[kind])
 
 
 def _place(cell: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +233,7 @@ def packed_lines(docs: DataFrame, id_col: str, text_col: str, rarity: np.ndarray
         part, short = _place(cell, parts)
         order = np.argsort(short, kind="stable")
         part, short, row, pos = part[order], short[order], row[order], pos[order]
-        yield _pack(part, _CELLS, {"cell": pa.array(short), **place(row), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "low": pa.array(low[row]), "high": pa.array(high[row]), "tag": pa.array((sid[row] & _mask(16)).astype(np.uint16))})
+        yield _pack(part, _CELLS, {"cell": pa.array(short), **place(row), "n": pa.array(n[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "low": pa.array(low[row]), "high": pa.array(high[row]), "tag": pa.array((sid[row] & _mask(32)).astype(np.uint32)), "mark": pa.array((sid[row] >> _U(56)).astype(np.uint8))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale, held, rows, cells = shared.value, [], 0, 0
@@ -280,21 +285,20 @@ class _Cells:
         self.cell, self.low, self.high = cell[order], low[order], high[order]
         self.ids_arrow = table.column("id").combine_chunks().take(pa.array(order))
         self.ids = self.ids_arrow.to_numpy(zero_copy_only=False)
-        self.line, self.n, self.pos, tag = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("line", "n", "pos", "tag"))
-        self._without_twins(tag)
+        self.line, self.n, self.pos = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("line", "n", "pos"))
+        self._without_twins(*(table.column(c).to_numpy()[order] for c in ("tag", "mark")))
 
-    def _without_twins(self, tag: np.ndarray) -> None:
-        """Of neighbours under a cell that look alike the first by id and line stays; twins has the others with that one.
-        They have equal sets, or else (about once in 2^23 similar sets) meet all others in the second pass."""
-        like = np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in (self.cell, self.low, self.high, self.n, self.pos, tag)]))
+    def _without_twins(self, tag: np.ndarray, mark: np.ndarray) -> None:
+        """Of neighbours under a cell that look alike the first by id and line stays. The others have equal sets, as 40 bits of
+        hash, size, sketch and a prefix word agree, and are gone by their keys (similar sets agree so about once in 2^46)."""
+        like = np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in (self.cell, self.low, self.high, self.n, self.pos, tag, mark)]))[: len(self.cell)]
         run = np.cumsum(~like)
         at = np.flatnonzero(like | np.append(like[1:], False))
         at = at[np.lexsort((self.line[at], self.ids[at], run[at]))]
         lead = np.append(True, run[at][1:] != run[at][:-1])[: len(at)]
-        self.twins = at[~lead], at[lead][np.cumsum(lead) - 1][~lead]
-        self.here = np.ones(len(self.cell), bool)
-        self.here[self.twins[0]] = False
-        self.at = np.flatnonzero(self.here)
+        here = np.ones(len(self.cell), bool)
+        here[at[~lead]] = False
+        self.at = np.flatnonzero(here)
         own = self.cell[self.at]
         cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
         self.heads, self.sizes = cut[:-1], np.diff(cut)
@@ -358,9 +362,10 @@ class _Cells:
 
     def of(self, cell: np.ndarray, ids: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of the open sets (cell, id, line) with others under the cell."""
+        own = self.cell[self.at]
         for c in np.unique(cell):
-            a, b = np.searchsorted(self.cell, c, "left"), np.searchsorted(self.cell, c, "right")
-            group = np.arange(a, b)
+            a, b = np.searchsorted(own, c, "left"), np.searchsorted(own, c, "right")
+            group = self.at[a:b]
             mine = cell == c
             wanted = set(zip(ids[mine].tolist(), line[mine].tolist(), strict=True))
             opened = np.array([g for g in group.tolist() if (self.ids[g], self.line[g]) in wanted], np.int64)
@@ -404,8 +409,6 @@ def found_pairs(packed: DataFrame, parts: int, kind: str, id_type: pa.DataType)
             return
         if any(kind == _OPEN for kind, _, _ in rows):
             return
-        x, y = cells.ordered(*cells.twins)
-        yield out(cells.ids_arrow.take(pa.array(x)), cells.line[x], cells.ids_arrow.take(pa.array(y)), cells.line[y], part, cells.cell[x])
         for x, y in cells.small():
             yield pairs(x, y)
         for x, y, more in cells.crowded():
@@ -429,24 +432,61 @@ def found_pairs(packed: DataFrame, parts: int, kind: str, id_type: pa.DataType)
     return dealt.mapInArrow(run, f"xi {kind}, xl long, yi {kind}, yl long, part long, cell long")
 
 
-def _lines_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
-    """(id, line_no, line) of the lines of wanted(id, line_no)."""
+def _probes(row: np.ndarray, number: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block and places of four bits (12 each) in the filter, from hashes of ids and line numbers."""
+    key = K.mix(row.astype(np.int64).view(_U) ^ K.mix(number.astype(_U)))
+    return (key % _U(blocks)).astype(np.int64), K.mix(key)
+
+
+def line_filter(wanted: DataFrame, most: int) -> np.ndarray:
+    """(blocks, BLOCK_BITS / 8) bytes: the filter of the lines of wanted(id, line_no), of which there are most at most."""
+    blocks = max(1, min(MOST_FILTER, 1 << (most * FILTER_BITS).bit_length()) // BLOCK_BITS)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, bits = _probes(batch.column("h").to_numpy(), batch.column("line_no").to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bits.view(np.int64))], names=["k", "bits"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            k, bits = batch.column("k").to_numpy(), batch.column("bits").to_numpy().view(_U)
+            order = np.argsort(k, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(k[order])) + 1) if len(k) else []:
+                block = own.setdefault(int(k[some[0]]), np.zeros(BLOCK_BITS, bool))
+                for b in range(4):
+                    block[(bits[some] >> _U(12 * b)) & _mask(12)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in own.values()], pa.binary())], names=["k", "bits"])
+
+    out = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
+    hashed = wanted.select(F.xxhash64("id").alias("h"), F.col("line_no").cast("long").alias("line_no"))
+    for k, v in hashed.mapInArrow(probe, "k long, bits long").repartition("k").mapInArrow(fill, "k long, bits binary").collect():
+        out[k] = np.frombuffer(v, np.uint8)
+    return out
+
+
+def _lines_of(docs: DataFrame, wanted: DataFrame, most: int, id_col: str, text_col: str, kind: str) -> DataFrame:
+    """(id, line_no, line) of the lines of wanted(id, line_no), and of a few others that the filter lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(line_filter(wanted, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            at, number, line = [], [], []
-            for k, (text, lines) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True)):
-                cut = text.split("\n")
-                for i in lines:
-                    if i < len(cut):
-                        at.append(k)
-                        number.append(i)
-                        line.append(cut[i])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(number, pa.int64()), pa.array(line, pa.string())], names=["id", "line_no", "line"])
+            data, offsets = K.text_bytes(batch.column("text"))
+            row = batch.column("h").to_numpy()
+            for i, j in K.chunks(offsets):
+                raw = data[offsets[i] : offsets[j]]
+                bounds, doc, number = _line_bounds(raw, offsets[i : j + 1] - offsets[i])
+                k, probe = _probes(row[doc + i], number, len(bits))
+                at = np.arange(len(doc))
+                for b in range(4):
+                    p = (probe[at] >> _U(12 * b)) & _mask(12)
+                    at = at[(bits[k[at], p >> _U(3)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1]
+                lines = pa.Array.from_buffers(pa.large_string(), len(doc), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc[at] + i)), pa.array(number[at]), lines.cast(pa.string())], names=["id", "line_no", "line"])
 
-    lists = wanted.groupBy(F.col("id").alias("_wid")).agg(F.collect_set("line_no").alias("lines"))
-    met = _texts(docs, id_col, text_col).join(lists, F.col("id") == F.col("_wid")).select("id", "text", "lines")
-    return met.mapInArrow(run, f"id {kind}, line_no long, line string")
+    read = _texts(docs, id_col, text_col).withColumn("h", F.xxhash64("id"))
+    return read.mapInArrow(run, f"id {kind}, line_no long, line string")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -474,7 +514,7 @@ def _matched(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, kind
     """The lines of the verified pairs of found, written."""
     pairs = materialise(found.where("yi is not null").select("xi", "xl", "yi", "yl").distinct(), "line-pairs")
     each = pairs.select(F.col("xi").alias("id"), F.col("xl").alias("line_no")).unionAll(pairs.select("yi", "yl"))
-    lines = materialise(_lines_of(docs, each, id_col, text_col, kind), "pair-lines")
+    lines = materialise(_lines_of(docs, each, 2 * pairs.count(), id_col, text_col, kind), "pair-lines")
     out = materialise(verified(pairs, lines), "matched-lines")
     release(pairs, lines)
     return out
@@ -510,10 +550,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     free_shuffles(docs.sparkSession)
     copies = found.where("yi is null and cell is null").select(F.col("xi").alias("id"), F.col("xl").alias("line_no"))
     gone = materialise(copies.unionAll(_matched(found, docs, id_col, text_col, kind)).distinct(), "gone-lines")
-    alike, left = (found.where(f"cell is not null and yi is {no} null").select("xi", "xl", "part", "cell") for no in ("not", ""))
-    known = (t.toDF("xi", "xl") for t in (copies.distinct(), gone))
-    more = [t.join(k, ["xi", "xl"], "left_anti") for t, k in zip((alike, left), known, strict=True)]
-    more = materialise(more[0].unionAll(more[1]).distinct(), "open-lines")
+    left = found.where("cell is not null").select("xi", "xl", "part", "cell")
+    more = materialise(left.join(gone.toDF("xi", "xl"), ["xi", "xl"], "left_anti").distinct(), "open-lines")
     release(found)
     if not more.isEmpty():
         own = packed.where(f"kind = {_CELLS}").join(more.select("part").distinct(), "part", "left_semi")

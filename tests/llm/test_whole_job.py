@@ -30,6 +30,35 @@ def test_short_lines_collapse_on_equal_sets(spark):
     assert got == {1: rows[0][1], 2: "own\n\nread less\nsign in", 3: " "}
 
 
+def test_copies_of_lines_are_gone_by_their_keys_alone(spark):
+    """Copies that several tasks see are told once, not verified; only similar lines are pairs."""
+    import pyarrow as pa
+
+    lines = [" ".join(f"w{random.Random(k).randrange(10**6)}x{i}" for i in range(10)) for k in range(40)]
+    docs = docs_of(spark, [(d, "\n".join(lines) + f"\n{lines[0]} own{d}") for d in range(6)]).repartition(6, "doc_id")
+    packed = line_dedup.packed_lines(docs, "doc_id", "text", line_dedup.word_counts(docs, "text"), 512)
+    found = line_dedup.found_pairs(packed, 512, "bigint", pa.int64()).collect()
+    copies = {(r.xi, r.xl) for r in found if r.yi is None and r.cell is None}
+    assert copies == {(d, i) for d in range(1, 6) for i in range(40)} and not [r for r in found if r.cell is not None]
+    pairs = {(r.xi, r.xl, r.yi, r.yl) for r in found if r.yi is not None}
+    assert pairs and all(40 in (r[1], r[3]) and not {r[:2], r[2:]} & copies for r in pairs)
+    assert {(r.doc_id, r.line_no) for r in line_dedup.repeated_lines(docs).collect()} == copies | {(d, 40) for d in range(6)}
+
+
+def test_lines_in_question_travel_without_their_texts(spark):
+    """The filter lets all wanted lines pass, whatever the ids, and few others; texts are not joined."""
+    texts = {d: "\n".join(f"line {i} \u00e9 of {d}" if (d + i) % 5 else "" for i in range(d % 40)) for d in range(300)}
+    for kind, name in (("long", int), ("string", str)):
+        docs = spark.createDataFrame([(name(d), t) for d, t in texts.items()] + [(None, "a\nb")], f"doc_id {kind}, text string").where("doc_id is not null")
+        wanted = {(name(d), i): line for d, t in texts.items() for i, line in enumerate(t.split("\n")) if (3 * d + i) % 50 == 0}
+        rows = spark.createDataFrame(list(wanted), f"id {kind}, line_no long")
+        lines = line_dedup._lines_of(docs, rows, len(wanted), "doc_id", "text", docs.schema["doc_id"].dataType.simpleString())
+        assert "Join" not in lines._jdf.queryExecution().toString()
+        got = {(r.id, r.line_no): r.line.removesuffix("\n") for r in lines.collect()}
+        assert {k: got.get(k) for k in wanted} == wanted and len(got) < 2 * len(wanted) < sum(map(len, (t.split("\n") for t in texts.values()))) / 10
+        assert all(line == texts[int(d)].split("\n")[i] for (d, i), line in got.items())
+
+
 def test_benchmark_copies_far_in_bits_are_found(spark):
     """A copy at similarity 0.8 whose fingerprint differs from the item's in 28 bits."""
     kept = "qu ztl rkhcsj yfpadzflp jqqb eje dtr olpb cn nwpw bzd npygxktbv fluo opjz tbz bbfn sk klg xcmzxbohh ula"
