@@ -442,10 +442,18 @@ def line_filter(wanted: DataFrame, most: int) -> np.ndarray:
     """(blocks, BLOCK_BITS / 8) bytes: the filter of the lines of wanted(id, line_no), of which there are most at most."""
     blocks = max(1, min(MOST_FILTER, 1 << (most * FILTER_BITS).bit_length()) // BLOCK_BITS)
 
+    def told(held: set[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], pa.int64()) for i in range(2)], names=["k", "bits"])
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, int]] = set()  # a line of many pairs goes once from a task
         for batch in batches:
             k, bits = _probes(batch.column("h").to_numpy(), batch.column("line_no").to_numpy(), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bits.view(np.int64))], names=["k", "bits"])
+            held.update(zip(k.tolist(), bits.view(np.int64).tolist(), strict=True))
+            if len(held) >= FLUSH:
+                yield told(held)
+                held = set()
+        yield told(held)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
