@@ -1,5 +1,7 @@
 """Published counts, hand-checked values and edge cases of the operators."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,16 @@ def test_raw_files(spark, tmp_path):
     back = datasets.read_table(spark, spec, str(tmp_path / "raw"), header=False)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert sorted(r[0] for r in back.select(spec.label()).collect()) == [0, 1]
+
+
+def test_ranks_of_a_node_of_many_links_go_on_from_range_to_range(spark):
+    nodes = spark.range(3000).select("id", F.array(F.lit(1.0), (F.col("id") % 7).cast("double")).alias("features"))
+    edges = graph.symmetric(spark.range(1, 3000).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.neighbour_cosine(nodes, edges).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    cosine = lambda i: round(1 / math.sqrt(1 + (i % 7) ** 2), 6)
+    want = [(0, i, cosine(i), n + 1) for n, i in enumerate(sorted(range(1, 3000), key=lambda i: (-cosine(i), i)))]
+    assert sorted(map(tuple, got)) == sorted(want + [(i, 0, cosine(i), 1) for i in range(1, 3000)])

@@ -46,3 +46,19 @@ def test_imputed_tables_are_whole_and_keep_what_was_known(spark):
         for c in ("p_type", "p_brand", "p_size"):
             known = holes[c].notna()
             assert (full[c][known] == holes[c][known]).all(), (strategy, c)
+
+
+def test_cosines_are_told_for_every_link_of_every_customer(spark):
+    found = catalog.QUERIES["neighbour_cosine"](spark, SF).toPandas().sort_values(["src", "rank"])
+    links = catalog.QUERIES["knn_graph"](spark, SF).toPandas()
+    both = set(zip(links.src, links.dst, strict=True)) | set(zip(links.dst, links.src, strict=True))
+    assert len(found) == len(both) and set(zip(found.src, found.dst, strict=True)) == both
+    assert found.src.nunique() == spark.read.parquet(f"{SF}/customer.parquet").count()
+    x = {r.c_custkey: r.features for r in catalog._encoded_customers(spark, SF).collect()}
+    for _, near in found.groupby("src"):
+        assert list(near["rank"]) == list(range(1, len(near) + 1))
+        assert list(zip(-near.cosine, near.dst, strict=True)) == sorted(zip(-near.cosine, near.dst, strict=True))
+    for r in found.itertuples():
+        a, b = x[r.src], x[r.dst]
+        size = math.hypot(*a) * math.hypot(*b)
+        assert abs(r.cosine - (sum(p * q for p, q in zip(a, b, strict=True)) / size if size else 0.0)) < 1e-6
